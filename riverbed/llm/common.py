@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
@@ -157,3 +158,7 @@ def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     flat = np.ascontiguousarray(data)
     o = (np.asarray(offsets, dtype=np.int64) * flat.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer(o), pa.py_buffer(flat)])
+
+
+def sha256(values: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in values], type=pa.string())

@@ -57,7 +57,7 @@ def grams(s: np.ndarray, k: int) -> np.ndarray:
     n = len(s) - k
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    return mix((s[k:] - s[:n]) * _pow(INV, n) + np.uint64(k) * np.uint64(0xD6E8FEB86659FD93))
+    return mix((s[k:] - s[:n]) * _pow(INV, n) + np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
