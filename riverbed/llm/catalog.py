@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, topk, toxicity
+from . import decontaminate, lines, neardup, substring, suffix, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"), num=85)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(spark, table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.hits(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -39,7 +47,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark, e, e.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op6_decontaminate, op7_toxicity, op8_line_dedup, op9_topk)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(spark, table(spark, sf_dir, "documents"), digest=True)
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_near_duplicates, op4_suffix_dedup, op6_decontaminate, op7_toxicity, op8_line_dedup, op9_topk, op10_substring_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
