@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neardup, substring, suffix, topk, toxicity
+from . import codec, decontaminate, lines, neardup, packing, substring, suffix, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The file of a public tokenizer; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"), num=85)
 
@@ -24,6 +35,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(spark, table(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.hits(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -51,7 +66,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(spark, table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_near_duplicates, op4_suffix_dedup, op6_decontaminate, op7_toxicity, op8_line_dedup, op9_topk, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op3_near_duplicates, op4_suffix_dedup, op5_token_ids, op6_decontaminate, op7_toxicity, op8_line_dedup, op9_topk, op10_substring_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 

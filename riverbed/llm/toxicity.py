@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_byt
     """Fits on a bounded sample that comes to the driver: ``limit`` rows and ``max_bytes`` of text at most."""
     per_row = max(1, max_bytes // max(1, limit))
     rows = training_rows(docs, labels, limit).where(F.octet_length("text") <= 16 * per_row)
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("half", F.octet_length("text")).orderBy("h").toArrow()
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("half", F.octet_length("text")).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
     size = np.cumsum(rows["half"].to_numpy()) if rows.num_rows else np.zeros(0)
     n = int(np.searchsorted(size, max_bytes, side="right"))
     return fit(rows["text"].to_pylist()[:n], rows["label"].to_pylist()[:n])
