@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, decontaminate, lines, neardup, packing, substring, suffix, topk, toxicity
+from . import codec, decontaminate, lines, lm, neardup, packing, substring, suffix, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"), num=85)
 
@@ -66,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(spark, table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op3_near_duplicates, op4_suffix_dedup, op5_token_ids, op6_decontaminate, op7_toxicity, op8_line_dedup, op9_topk, op10_substring_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_packing, op2_lm_score, op3_near_duplicates, op4_suffix_dedup, op5_token_ids, op6_decontaminate, op7_toxicity, op8_line_dedup, op9_topk, op10_substring_dedup)}
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
