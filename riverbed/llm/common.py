@@ -87,13 +87,14 @@ class Scratch:
         self._keep = [*getattr(self, "_keep", []), out]
         return out
 
-    def drop(self, *dfs: DataFrame) -> None:
-        """Deletes tables that nothing will read again, and lets Spark delete the shuffle files of finished jobs."""
+    def drop(self, *dfs: DataFrame, collect: bool = True) -> None:
+        """Deletes tables that nothing will read again; ``collect`` lets Spark delete the shuffle files of finished jobs too."""
         for df in dfs:
             if path := self.paths.pop(id(df), None):
                 remove(self.spark, path)
                 self._keep = [x for x in self._keep if x is not df]
-        self.collect()
+        if collect:
+            self.collect()
 
     def collect(self) -> None:
         gc.collect()

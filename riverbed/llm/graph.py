@@ -25,7 +25,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         small = up.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low2.select(F.col("m").alias("a"), F.col("u").alias("b")))
         new = scratch.save(small.distinct())
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        scratch.drop(e, low, large, low2)
+        scratch.drop(e, low, large, low2, collect=False)
         e = new
         if now == state:
             break

@@ -24,8 +24,10 @@ from .graph import components
 MISS = 1e-4
 #: Classes whose sets are looked up by a broadcast of their row keys at most; more go by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Members of a table key up to which all links between its components are tried at once; larger keys go leader by leader.
-SMALL_KEY = 24
+#: Texts of a table key up to which a join pairs its components; the texts of larger keys are compared in blocks.
+SMALL_KEY = 16
+#: Texts in such a block, about.
+KEY_BLOCK = 1024
 
 
 def halves(threshold: float, miss: float = MISS) -> int:
@@ -103,6 +105,45 @@ def sketches(docs: DataFrame, k: int, m: int) -> DataFrame:
     return arrow_map(docs.select("rid", "id", "text"), run, kind)
 
 
+def least_agreement(t: float) -> int:
+    """Of 32 two-bit minhashes, a pair at similarity t agrees on 32 (3 t + 1) / 4 in the mean; less by 4.2 deviations is rejected."""
+    p = (3 * t + 1) / 4
+    return math.floor(32 * p - 4.2 * math.sqrt(32 * p * (1 - p)))
+
+
+def block_pairs(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y) of texts of different components in one key whose sizes and signatures allow a link.
+
+    ``rows``: key, cid, comp, n, sig, size. A key's largest component meets only the others, and texts are compared
+    block by block, so a task holds two blocks whatever the size of a key.
+    """
+    least = least_agreement(num / den)
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    r = rows.join(scratch.save(main), "key")
+    left_blocks, right_blocks = F.ceil(F.col("others") / KEY_BLOCK).cast("int"), F.ceil(F.col("size") / KEY_BLOCK).cast("int")
+    me = F.struct("cid", "comp", "n", "sig")
+    spread = F.xxhash64(F.lit(3), "cid")
+    left = r.where("comp <> main").select("key", F.pmod(spread, left_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), right_blocks - 1)).alias("j"), F.lit(True).alias("left"), me.alias("m"))
+    right = r.select("key", F.explode(F.sequence(F.lit(0), left_blocks - 1)).alias("i"), F.pmod(spread, right_blocks).cast("int").alias("j"), F.lit(False).alias("left"), me.alias("m"))
+    met = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("left"), F.col("m"))).alias("l"), F.collect_list(F.when(~F.col("left"), F.col("m"))).alias("r"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(batch.num_rows):
+            l, r = ([batch.column(c)[k].values.field(f).to_numpy() for f in range(4)] for c in (0, 1))
+            if not len(l[0]) or not len(r[0]):
+                continue
+            d = l[3][:, None] ^ r[3][None, :]
+            agree = 32 - np.bitwise_count((d | (d >> 1)) & 0x5555555555555555)
+            n1, n2 = l[2][:, None], r[2][None, :]
+            ok = (agree >= least) & (l[1][:, None] != r[1][None, :]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2))
+            a, b = np.nonzero(ok)
+            a, b = l[0][a], r[0][b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "y"])
+
+    return arrow_map(met.select("l", "r"), run, "x long, y long").distinct()
+
+
 class Verifier:
     """Confirms candidate links on full sets; remembers which pairs have been tried."""
 
@@ -118,13 +159,11 @@ class Verifier:
             pairs = pairs.join(self.tried, ["x", "y"], "left_anti")
         x, y = (self.light.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("rep").alias(f"rep_{s}")) for s in "xy")
         p = pairs.join(x, "x").join(y, "y")
-        # Sizes decide exactly. Of 32 two-bit minhashes a pair at similarity t agrees on 32 (3 t + 1) / 4 in the mean.
+        # Sizes decide exactly.
         p = p.where(self.den * F.least("n_x", "n_y") >= self.num * F.greatest("n_x", "n_y"))
-        t = self.num / self.den
-        mean, dev = 8 * (3 * t + 1), math.sqrt(32 * (3 * t + 1) / 4 * (1 - (3 * t + 1) / 4))
         diff = F.col("sig_x").bitwiseXOR(F.col("sig_y"))
         agree = 32 - F.bit_count(diff.bitwiseOR(F.shiftrightunsigned(diff, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-        p = self.scratch.save(p.where(agree >= math.floor(mean - 4.2 * dev)).select("x", "y", "rep_x", "rep_y"))
+        p = self.scratch.save(p.where(agree >= least_agreement(self.num / self.den)).select("x", "y", "rep_x", "rep_y"))
         tried = p.select("x", "y")
         self.tried = tried if self.tried is None else self.tried.unionByName(tried)
         sets = self.sets(p.select(F.col("rep_x").alias("rid")).unionByName(p.select(F.col("rep_y").alias("rid"))).distinct())
@@ -174,26 +213,17 @@ def groups(spark: SparkSession, scratch: Scratch, base: DataFrame, num: int, den
     scratch.drop(shared)
     check = Verifier(scratch, base, classes, k, num, den)
     edges = check.links(met.where("cid <> lead").select(F.col("lead").alias("x"), F.col("cid").alias("y")))
-    while True:
-        comps = components(scratch, edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        # A key is open while it holds texts of several components, of which some pair hasn't been compared.
-        labelled = met.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        labelled = scratch.save(labelled)
-        open_ = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.when(F.col("cid") > F.col("lead"), F.col("cid"))).alias("next")).where("c1 < c2 and next is not null").select("key", "next")
-        open_ = scratch.save(open_)
-        rows = labelled.join(open_, "key")
-        few, many = rows.where(F.col("size") <= SMALL_KEY), rows.where(F.col("size") > SMALL_KEY)
-        right = few.select("key", F.col("cid").alias("y"), F.col("comp").alias("comp_y"))
-        pairs = few.where(F.col("cid") >= F.col("next")).select("key", F.col("cid").alias("x"), "comp").join(right, "key").where("x < y and comp <> comp_y").select("x", "y")
-        leader = many.where(F.col("cid") == F.col("next")).select("key", F.col("comp").alias("comp_x"))
-        pairs = pairs.unionByName(many.where(F.col("cid") > F.col("next")).join(leader, "key").where("comp <> comp_x").select(F.col("next").alias("x"), F.col("cid").alias("y")))
-        found = check.links(pairs)
-        edges = edges.unionByName(found)
-        # Small keys are done; large ones go on with their next leader.
-        rest = many.select("key", "cid", F.col("next").alias("lead"), "size")
-        met = scratch.save(rest)
-        if met.isEmpty():
-            break
+    # What failed against a key's first text may still be linked with its others, if they are in another component.
+    comps = components(scratch, edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    labelled = scratch.save(met.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
+    open_ = scratch.save(labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key"))
+    rows = scratch.save(labelled.join(open_, "key").drop("lead"))
+    few, many = rows.where(F.col("size") <= SMALL_KEY), rows.where(F.col("size") > SMALL_KEY)
+    right = few.select("key", F.col("cid").alias("y"), F.col("comp").alias("comp_y"))
+    pairs = few.select("key", F.col("cid").alias("x"), "comp").join(right, "key").where("x < y and comp <> comp_y").select("x", "y").distinct()
+    signed = scratch.save(many.join(check.light.select("cid", "n", "sig"), "cid"))
+    pairs = pairs.unionByName(block_pairs(scratch, signed, num, den))
+    edges = edges.unionByName(check.links(pairs))
     comps = components(scratch, edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     out = sk.select("rid", "id", "n", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
     return scratch.save(out.select("rid", "id", "n", "cid", F.coalesce("comp", "cid").alias("comp")))
@@ -216,3 +246,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     out = g.join(first, "comp", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but the first of each group: the smallest id, null last, then any one."""
+    tune(spark)
+    scratch = Scratch(spark, "neardup")
+    base = scratch.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")))
+    g = groups(spark, scratch, base.select("rid", F.col("row")[id_col].alias("id"), F.coalesce(F.col("row")[text_col], F.lit("")).alias("text")), num, den, k)
+    me = F.struct(F.col("id").isNull().alias("none"), "id", "rid")
+    first = scratch.save(g.where("comp is not null").groupBy("comp").agg(F.min(me).alias("m")).select("comp", F.col("m.rid").alias("first")))
+    gone = scratch.save(g.join(first, "comp").where("rid <> first").select("rid"))
+    return base.join(gone, "rid", "left_anti").select("row.*")
