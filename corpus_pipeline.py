@@ -1,2 +1,67 @@
-def run(spark, sf_dir): ...
-STAGES = []
+"""Documents to packed training sequences: toxicity, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's ``docs``. All
+but the last return the columns of documents, whatever else these are called: rows travel as one struct.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riverbed.llm import decontaminate, lines, neardup, packing, toxicity
+from riverbed.llm.catalog import table, tokenizer
+from riverbed.llm.common import Scratch, tune
+
+#: SQL can't express the trained, the randomised and the packing stages.
+ORACLE_SQL = None
+
+
+def _with_row(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.struct("*").alias("row__"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(spark, _with_row(docs), table(spark, sf_dir, "labels"), keep=("row__",))
+    return scored.where("predicted = 0").select("row__.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand on too many documents of a source go; a document keeps its row, and its text if nothing goes."""
+    out = lines.dedup(spark, docs, F.col("source"), lines.text_lines(F.col("text")))
+    text = F.when(F.size("kept") == F.size("lines"), F.col("page.text")).otherwise(F.array_join("kept", "\n"))
+    n = F.when(F.size("kept") == F.size("lines"), F.col("page.n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    new = {"text": text, "n_chars": n}
+    return out.select(*[new.get(c, F.col("page")[c]).alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_first(spark, docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(spark, _with_row(docs), table(spark, sf_dir, "benchmark"), keep=("row__",))
+    return found.where(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select("row__.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents of ``sf_dir``; the last one's rows."""
+    tune(spark)
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return docs
