@@ -24,10 +24,10 @@ from .graph import components
 MISS = 1e-4
 #: Classes whose sets are looked up by a broadcast of their row keys at most; more go by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Texts of a table key up to which a join pairs its components; the texts of larger keys are compared in blocks.
+#: Texts of a table key up to which a join pairs its components; the texts of larger keys are compared in blocks where they meet.
 SMALL_KEY = 16
-#: Texts in such a block, about.
-KEY_BLOCK = 1024
+#: Texts in such a block, about, and bytes of their sets.
+KEY_BLOCK, KEY_BLOCK_BYTES = 384, 16_000_000
 
 
 def halves(threshold: float, miss: float = MISS) -> int:
@@ -111,37 +111,88 @@ def least_agreement(t: float) -> int:
     return math.floor(32 * p - 4.2 * math.sqrt(32 * p * (1 - p)))
 
 
-def block_pairs(scratch: Scratch, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x, y) of texts of different components in one key whose sizes and signatures allow a link.
+def crowd_links(scratch: Scratch, texts: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (x, y) among texts of crowded keys that join different components.
 
-    ``rows``: key, cid, comp, n, sig, size. A key's largest component meets only the others, and texts are compared
-    block by block, so a task holds two blocks whatever the size of a key.
+    ``texts``: cid, comp, n, sig, a, b, rep; ``sets``: rid, s. Texts meet by their half keys of the first collection, in
+    blocks of bounded size, so a task holds two blocks whatever the size of a key. A pair is looked at under the first
+    half key that it shares, if it shares one of the second collection too. Sets are compared where they meet, and not
+    for texts that are connected already, so only links leave a task, and fewer than it has texts.
     """
     least = least_agreement(num / den)
-    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
-    r = rows.join(scratch.save(main), "key")
-    left_blocks, right_blocks = F.ceil(F.col("others") / KEY_BLOCK).cast("int"), F.ceil(F.col("size") / KEY_BLOCK).cast("int")
-    me = F.struct("cid", "comp", "n", "sig")
-    spread = F.xxhash64(F.lit(3), "cid")
-    left = r.where("comp <> main").select("key", F.pmod(spread, left_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), right_blocks - 1)).alias("j"), F.lit(True).alias("left"), me.alias("m"))
-    right = r.select("key", F.explode(F.sequence(F.lit(0), left_blocks - 1)).alias("i"), F.pmod(spread, right_blocks).cast("int").alias("j"), F.lit(False).alias("left"), me.alias("m"))
-    met = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list(F.when(F.col("left"), F.col("m"))).alias("l"), F.collect_list(F.when(~F.col("left"), F.col("m"))).alias("r"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for k in range(batch.num_rows):
-            l, r = ([batch.column(c)[k].values.field(f).to_numpy() for f in range(4)] for c in (0, 1))
-            if not len(l[0]) or not len(r[0]):
+    rows = scratch.save(texts.join(sets.withColumnRenamed("rid", "rep"), "rep").drop("rep"))
+    x = rows.select("cid", "comp", F.octet_length("s").alias("bytes"), F.explode("a").alias("key"))
+    sizes = x.groupBy("key").agg(F.count("*").alias("c"), F.sum("bytes").alias("bytes"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
+    blocks = F.greatest(F.ceil(F.col("c") / KEY_BLOCK), F.ceil(F.col("bytes") / KEY_BLOCK_BYTES)).cast("int")
+    sizes = scratch.save(sizes.select("key", blocks.alias("blocks")))
+    dealt = x.select("cid", "key").join(sizes, "key").withColumn("t", F.pmod(F.xxhash64(F.lit(3), "cid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cid", "key", "t", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"))
+    cols = ["key", "p", "q", "t", "cid", "comp", "n", "sig", "a", "b", "s"]
+    met = dealt.join(rows, "cid").select(*cols).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        part, cid, comp, n, sig = (t[c].to_numpy() for c in ("t", "cid", "comp", "n", "sig"))
+        a, b = (t[c].combine_chunks().flatten().to_numpy().reshape(len(cid), -1) for c in ("a", "b"))
+        p, q = t["p"][0].as_py(), t["q"][0].as_py()
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        here = int(np.argmax(a[0] == t["key"][0].as_py()))
+        d = sig[left][:, None] ^ sig[right][None, :]
+        agree = 32 - np.bitwise_count((d | (d >> 1)) & 0x5555555555555555)
+        n1, n2 = n[left][:, None], n[right][None, :]
+        ok = (agree >= least) & (comp[left][:, None] != comp[right][None, :]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2))
+        if p == q:
+            ok = np.triu(ok, 1)
+        i, j = np.nonzero(ok)
+        score = agree[i, j]
+        i, j = left[i], right[j]
+        due = (b[i] == b[j]).any(axis=1) & ~(a[i, :here] == a[j, :here]).any(axis=1)
+        order = np.argsort(-score[due].astype(np.int64), kind="stable")
+        sets_ = [np.frombuffer(v.as_buffer(), np.uint64) for v in t["s"].combine_chunks()]
+        top: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                top[c] = top.get(up, up)
+                c = up
+            return c
+
+        out = []
+        for k, l in zip(i[due][order].tolist(), j[due][order].tolist(), strict=True):
+            ck, cl = find(int(comp[k])), find(int(comp[l]))
+            if ck != cl and similar(sets_[k], sets_[l], num, den):
+                top[ck] = cl
+                out.append((k, l))
+        got = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[got[:, 0]], cid[got[:, 1]])), pa.array(np.maximum(cid[got[:, 0]], cid[got[:, 1]]))], ["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            d = l[3][:, None] ^ r[3][None, :]
-            agree = 32 - np.bitwise_count((d | (d >> 1)) & 0x5555555555555555)
-            n1, n2 = l[2][:, None], r[2][None, :]
-            ok = (agree >= least) & (l[1][:, None] != r[1][None, :]) & (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2))
-            a, b = np.nonzero(ok)
-            a, b = l[0][a], r[0][b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["x", "y"])
-
-    return arrow_map(met.select("l", "r"), run, "x long, y long").distinct()
+            k, p, q = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            t = pa.Table.from_batches([batch])
+            first = t.slice(0, 1)
+            if held and any(held[0][c][0] != first[c][0] for c in ("key", "p", "q")):
+                yield links(pa.concat_tables(held))
+                held = []
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                held.append(t.slice(lo, hi - lo))
+                if hi < batch.num_rows:
+                    yield links(pa.concat_tables(held))
+                    held = []
+        if held:
+            yield links(pa.concat_tables(held))
+
+    return scratch.save(met.mapInArrow(run, "x long, y long"))
+
+
+def similar(u: np.ndarray, v: np.ndarray, num: int, den: int) -> bool:
+    """Whether den * intersection >= num * union, for sorted sets that aren't empty."""
+    common = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
+    return den * common >= num * (len(u) + len(v) - common)
 
 
 class Verifier:
@@ -171,13 +222,8 @@ class Verifier:
         num, den = self.num, self.den
 
         def confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ok = []
-            for u, v in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(u, v), len(u) - 1)
-                common = int((u[at] == v).sum())
-                ok.append(den * common >= num * (len(u) + len(v) - common))
-            keep = pa.array(ok)
+            ok = [similar(np.frombuffer(u.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.uint64), num, den) for u, v in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
 
         out = self.scratch.save(arrow_map(both.select("x", "y", "s_x", "s_y"), confirm, "x long, y long"))
@@ -206,11 +252,15 @@ def groups(spark: SparkSession, scratch: Scratch, base: DataFrame, num: int, den
     m = halves(num / den)
     sk = scratch.save(sketches(base, k, m))
     classes = scratch.save(sk.where("cid is not null").groupBy("cid").agg(F.min("rid").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig", "a", "b")]))
+    # Half keys that no other text has make no table key that another one has.
+    half = classes.select("cid", F.posexplode(F.concat("a", "b")).alias("p", "h"))
+    twice = scratch.save(half.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    own = half.join(twice, "h").groupBy("cid").agg(*[F.collect_list(F.when(F.col("p") < m if s == "a" else F.col("p") >= m, F.col("h"))).alias(s) for s in "ab"])
     tables = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))))
-    keys = classes.select("cid", tables.alias("key"))
+    keys = scratch.save(own.select("cid", tables.alias("key")))
     shared = scratch.save(keys.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last"), F.count("*").alias("size")).where("lead < last").drop("last"))
     met = scratch.save(keys.join(shared, "key"))
-    scratch.drop(shared)
+    scratch.drop(twice, keys, shared)
     check = Verifier(scratch, base, classes, k, num, den)
     edges = check.links(met.where("cid <> lead").select(F.col("lead").alias("x"), F.col("cid").alias("y")))
     # What failed against a key's first text may still be linked with its others, if they are in another component.
@@ -221,8 +271,8 @@ def groups(spark: SparkSession, scratch: Scratch, base: DataFrame, num: int, den
     few, many = rows.where(F.col("size") <= SMALL_KEY), rows.where(F.col("size") > SMALL_KEY)
     right = few.select("key", F.col("cid").alias("y"), F.col("comp").alias("comp_y"))
     pairs = few.select("key", F.col("cid").alias("x"), "comp").join(right, "key").where("x < y and comp <> comp_y").select("x", "y").distinct()
-    signed = scratch.save(many.join(check.light.select("cid", "n", "sig"), "cid"))
-    pairs = pairs.unionByName(block_pairs(scratch, signed, num, den))
+    crowd = scratch.save(many.select("cid", "comp").distinct().join(classes.select("cid", "n", "sig", "a", "b", "rep"), "cid"))
+    edges = edges.unionByName(crowd_links(scratch, crowd, check.sets(crowd.select(F.col("rep").alias("rid"))), num, den))
     edges = edges.unionByName(check.links(pairs))
     comps = components(scratch, edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
     out = sk.select("rid", "id", "n", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
