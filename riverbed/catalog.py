@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import flatten as fl
@@ -183,6 +183,51 @@ for _kind in ("eq", "range", "prefix", "mixed"):
     ORACLES[f"m_fanout_{_kind}"] = _registry_sql(_kind)
 
 
+def one_sided() -> Registry:
+    """Bounds on one side only, on numbers and on strings, among them open ones."""
+    r = Registry()
+    for i in range(10):
+        r.add("main", f"c{i % 2}", f"lt{i}", f"value=<{i * 3}")
+        r.add("main", f"c{i % 2}", f"le{i}", f"user_id=<={i * 2}")
+        r.add("main", f"c{i % 2}", f"gt{i}", f"value=>{100 - i}")
+        r.add("main", f"c{i % 2}", f"ge{i}", f'../type=>="s"&user_id=!{i}')
+    return r
+
+
+_ONE_SIDED = " UNION ALL ".join(
+    f"SELECT event_id, '{q}{i}' AS query_id FROM events WHERE {c}"
+    for i in range(10)
+    for q, c in (("lt", f"value < {i * 3}"), ("le", f"user_id <= {i * 2}"), ("gt", f"value > {100 - i}"), ("ge", f"event_type >= 's' AND user_id <> {i}"))
+)
+
+
+@query("m_fanout_one_sided", _ONE_SIDED)
+def m_fanout_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.lit("main").alias("channel"), "event_id", "event_type", "user_id", "value")
+    return match_by_join(e, one_sided(), TypedEvent(e, EVENT_COLUMNS), key=["event_id"]).select("event_id", "query_id")
+
+
+@query("m_fanout_contains", " UNION ALL ".join(f"SELECT conv_id, 'has_{w}' AS query_id FROM conversations GROUP BY conv_id HAVING list_contains(list(role), '{w}')" for w in ("system", "user", "assistant")) + " UNION ALL SELECT conv_id, 'later' FROM conversations GROUP BY conv_id HAVING list_contains(list(role), 'assistant') AND list_extract(list(role ORDER BY turn, role), 1) <> 'assistant'")
+def m_fanout_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Registry()
+    for w in ("system", "user", "assistant"):
+        r.add("main", "c", f"has_{w}", f'roles=["{w}"')
+    r.add("main", "c", "later", 'roles=["assistant"&roles=!"assistant"&/roles/0=!"assistant"')
+    e = roles(spark, sf_dir).withColumn("channel", F.lit("main"))
+    return match_by_join(e, r, TypedEvent(e, {("data", "roles"): "roles"}), key=["conv_id"]).select("conv_id", "query_id")
+
+
+@query("m_channels", "SELECT event_id, 'a' AS query_id FROM events WHERE event_id % 3 = 0 AND user_id < 30 UNION ALL SELECT event_id, 'b' FROM events WHERE event_id % 3 = 1 AND user_id < 30 UNION ALL SELECT event_id, 'all' FROM events WHERE event_id % 3 = 1")
+def m_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries see the events of their own channel only; a client on two channels has a query on each."""
+    r = Registry()
+    r.add("c0", "x", "a", "user_id=<30")
+    r.add("c1", "x", "b", "user_id=<30")
+    r.add("c1", "y", "all", "")
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), F.col("event_id") % 3).alias("channel"), "event_id", "user_id")
+    return match_by_join(e, r, TypedEvent(e, {("data", "user_id"): "user_id"}), key=["event_id"]).select("event_id", "query_id")
+
+
 @query("m_fanout_filter", _registry_sql("mixed"))
 def m_fanout_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fan_out(spark, sf_dir, "mixed", join=False)
@@ -315,6 +360,23 @@ def o_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.at_least(_orders(spark, sf_dir).where("o_orderkey <= 1500"), "o_orderkey", 500)
 
 
+@query("o_identity_set", "SELECT o_custkey, count(*) > 0 AS member FROM orders WHERE o_custkey % 7 <> 0 GROUP BY o_custkey UNION ALL SELECT DISTINCT o_custkey, false FROM orders WHERE o_custkey % 7 = 0")
+def o_identity_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of ids: added with repeats, some taken out, then each id asked for."""
+    ids = table(spark, sf_dir, "orders").select("o_custkey")
+    held = index.discard(index.add(ids.where("false"), ids), ids.where("o_custkey % 7 = 0"))
+    return index.contains(ids.distinct(), held, "o_custkey", "member")
+
+
+@query("o_delivery_order", """
+SELECT event_id, CAST(event_id // 300 AS BIGINT) AS batch_id, CAST((event_id % 300) // 256 AS BIGINT) AS chunk, CAST(row_number() OVER (PARTITION BY event_id // 300 ORDER BY event_id) - 1 AS INTEGER) AS "offset" FROM events
+""")
+def o_delivery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one request keep its order and go out in chunks of 256."""
+    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 300).alias("batch_id"))
+    return index.delivery_order(e, "batch_id", "event_id").select("event_id", "batch_id", F.floor((F.col("event_id") % 300) / 256).alias("chunk"), "offset")
+
+
 # Streams, registry, sinks and sources.
 
 
@@ -384,6 +446,22 @@ def r_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy(F.variant_get("event", "$.data.channel", "string").alias("channel")).agg(F.count("*").alias("n"))
 
 
+@query("r_removed", "SELECT query_id, CAST(conjunctions AS BIGINT) AS conjunctions FROM (VALUES ('or0', 3), ('all', 1), ('elsewhere', 1), ('replaced', 2)) t(query_id, conjunctions)")
+def r_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after clients have gone, a query has been taken back and another one replaced."""
+    r = registry("mixed")
+    for i in range(40):
+        r.remove("main", f"c{i % 4}", f"eq{i}")
+    for i in range(12):
+        r.remove("main", f"c{i % 3}", f"rg{i}")
+    for i in range(5):
+        r.remove("main", f"c{i}", f"px{i}")
+    r.remove("main", "c1", "ne0")
+    r.add("main", "c7", "replaced", "a=1")
+    r.add("main", "c7", "replaced", "a=2;b=3")
+    return r.standing(spark).groupBy("query_id").agg(F.count("*").alias("conjunctions"))
+
+
 @query("r_size", "SELECT CAST(63 AS BIGINT) AS size")
 def r_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.cardinality(registry("mixed").standing(spark))
@@ -423,6 +501,28 @@ def x_utf8_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fl.utf8_prefix(F.col("text"), 12).alias("head"))
 
 
+@query("x_typed_order", """
+SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY r, b NULLS FIRST, n NULLS FIRST, s NULLS FIRST) AS BIGINT) AS place FROM (
+  SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END r, CASE WHEN event_id % 4 = 1 THEN user_id % 2 = 0 END b,
+    CASE WHEN event_id % 4 = 2 THEN value END n, CASE WHEN event_id % 4 = 3 THEN event_type END s FROM events)
+""")
+def x_typed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """null < boolean < number < string, and each type in its own order; place is how many of a user's sort up to here."""
+    m = F.col("event_id") % 4
+    tag = F.when(m == 0, "null").when(m == 1, "bool").when(m == 2, "number").otherwise("string")
+    s = F.struct(tag.alias("tag"), F.when(m == 2, F.col("value")).alias("num"), F.when(m == 3, F.col("event_type")).alias("str"), F.when(m == 1, F.col("user_id") % 2 == 0).alias("bool"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", fl.order_key(s).alias("k"))
+    return e.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("k")).alias("place"))
+
+
+@query("x_url", "SELECT p_partkey, replace(replace(p_brand || ' é/' || p_size, ' ', '+'), 'é/', '%C3%A9%2F') AS coded FROM (SELECT p_partkey, replace(p_brand, '#', '%23') AS p_brand, p_size FROM part)")
+def x_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form encoding and back: the id of a frame, and the name of a channel."""
+    name = F.concat("p_brand", F.lit(" é/"), F.col("p_size").cast("string"))
+    p = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.url_encode(name).alias("coded"))
+    return p.where(envelope.channel_name(F.col("coded")) == F.col("name")).select("p_partkey", "coded")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of all modes out of the events table, some of them wrong in each way."""
     e = table(spark, sf_dir, "events").withColumn("m", F.col("event_id") % 6)

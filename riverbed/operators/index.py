@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Name = str
@@ -48,6 +48,26 @@ def remove(df: DataFrame, rows: DataFrame, key: Name) -> DataFrame:
     return df.join(rows.select(key).distinct(), key, "left_anti")
 
 
+def add(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """A set of ids with more put in; what is there already stays once."""
+    return held.unionByName(ids).distinct()
+
+
+def discard(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """A set of ids with some taken out, whether they are there or not."""
+    return held.join(ids.distinct(), held.columns, "left_anti")
+
+
+def contains(asked: DataFrame, held: DataFrame, key: Name, name: Name) -> DataFrame:
+    """``asked`` with a boolean that says whether each key is in the set."""
+    return asked.join(held.select(key, F.lit(True).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def delivery_order(events: DataFrame, batch: Name, *within: Name) -> DataFrame:
+    """``events`` with ``offset``, their place in their own request; a sink sorts by both. Requests are of bounded size."""
+    return events.withColumn("offset", F.row_number().over(Window.partitionBy(batch).orderBy(*within)) - 1)
+
+
 def keys_starting_with(df: DataFrame, key: Name, prefix: str) -> DataFrame:
     """Keys that begin with the prefix; pushed to the scan."""
     return df.where(F.startswith(F.col(key), F.lit(prefix)))
@@ -73,8 +93,9 @@ def _bins(lo: Column, hi: Column, width: float) -> Column:
 
 
 def ordered(lo: Column, hi: Column) -> tuple[Column, Column]:
-    """Reversed bounds are swapped."""
-    return F.least(lo, hi), F.greatest(lo, hi)
+    """Reversed bounds are swapped; a range without either bound has none."""
+    whole = lo.isNotNull() & hi.isNotNull()
+    return F.when(whole, F.least(lo, hi)), F.when(whole, F.greatest(lo, hi))
 
 
 def stab(points: DataFrame, x: Name, ranges: DataFrame, lo: Name, hi: Name, width: float | None = None) -> DataFrame:
