@@ -19,11 +19,31 @@ GRAM = 6
 BROADCAST_ROWS = 200_000
 
 
-def _gram_hashes(w: Column, k: int, seed: int, least: int) -> Column:
-    """Hash of the k words from each position; none if there are under ``least`` words."""
-    at = lambda i: F.xxhash64(F.lit(seed), *[F.lower(F.get(w, i + j)) for j in range(k)])
+def _word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(F.lower(x)))
+
+
+def _gram_hashes(h: Column, k: int, least: int) -> Column:
+    """Hash of the k words from each position, out of word hashes and by doubling; none if there are under ``least`` words.
+
+    Word hashes are random bits, so shifting by place and exclusive or will do; hits are compared word by word anyway.
+    """
+
+    def join(x: Column, y: Column, step: int) -> Column:
+        return F.zip_with(x, F.slice(y, F.lit(1 + step), F.greatest(F.size(y), F.lit(1))), lambda a, b: a.bitwiseXOR(F.shiftleft(b, step)))
+
+    def grow(x: Column, n: int, done: Column | None, have: int) -> Column:
+        """``x`` has the hashes of n words, ``done`` those of the ``have`` words before; the bits of k say which to join."""
+        if k & n:
+            done, have = (x if done is None else join(done, x, have)), have + n
+        if have == k:
+            return done
+        keep = done if done is not None else F.lit(None)
+        return let(F.struct(join(x, x, n).alias("x"), keep.alias("d")), lambda s: grow(s["x"], 2 * n, None if done is None else s["d"], have))
+
     none = F.array().cast("array<bigint>")
-    return F.when(F.size(w) >= max(k, least), F.transform(F.sequence(F.lit(0), F.size(w) - k), at)).otherwise(none)
+    hashed = let(h, lambda x: F.slice(grow(x, 1, None, 0), F.lit(1), F.greatest(F.size(x) - (k - 1), F.lit(0))))
+    return F.when(F.size(h) >= max(k, least), hashed).otherwise(none)
 
 
 def _winnow(h: Column, width: int) -> Column:
@@ -39,11 +59,12 @@ def _bench(benchmark: DataFrame, item_col: str, text_col: str, window: int, gram
     """(fp, item, q, words, len): a fingerprint, where it stands in the item, and the item's words; len: of its windows."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.transform(word_list(F.col(text_col)), ascii_lower).alias("iw"))
     items = items.where(F.size("iw") > 0)
-    long_ = items.where(F.size("iw") >= window).withColumn("ih", _gram_hashes(F.col("iw"), gram, 0, window))
+    items = items.withColumn("wh", _word_hashes(F.col("iw")))
+    long_ = items.where(F.size("iw") >= window).withColumn("ih", _gram_hashes(F.col("wh"), gram, window))
     long_ = long_.withColumn("fp", F.explode(_winnow(F.col("ih"), window - gram + 1)))
     long_ = long_.withColumn("q", F.explode(F.filter(F.sequence(F.lit(0), F.size("iw") - gram), lambda p: F.get(F.col("ih"), p) == F.col("fp"))))
     short = items.where(F.size("iw") < window)
-    by_length = F.coalesce(*[F.when(F.size("iw") == n, F.get(_gram_hashes(F.col("iw"), n, n, n), F.lit(0))) for n in range(1, window)])
+    by_length = F.coalesce(*[F.when(F.size("iw") == n, F.get(_gram_hashes(F.col("wh"), n, n), F.lit(0))) for n in range(1, window)])
     short = short.withColumn("fp", by_length).withColumn("q", F.lit(0))
     return long_.select("fp", "item", "q", "iw", F.lit(window).alias("len")).unionByName(short.select("fp", "item", "q", "iw", F.size("iw").alias("len"))).distinct()
 
@@ -69,16 +90,17 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
     if not few:
         base = scratch.save(base)
     base = base.select("rid", "id", "kept", word_list(F.col("text")).alias("w"))
-    base = base.withColumn("n_words", F.size("w")).withColumn("h", _gram_hashes(F.col("w"), gram, 0, window))
+    base = base.withColumn("n_words", F.size("w")).withColumn("wh", _word_hashes(F.col("w"))).withColumn("h", _gram_hashes(F.col("wh"), gram, window))
     prints = _winnow(F.col("h"), width)
     if lengths:
-        prints = F.concat(prints, *[F.array_distinct(_gram_hashes(F.col("w"), n, n, n)) for n in lengths])
+        prints = F.concat(prints, *[F.array_distinct(_gram_hashes(F.col("wh"), n, n)) for n in lengths])
     # A null print keeps one row of every document.
     prints = F.concat(prints, F.array(F.lit(None).cast("bigint")))
     if few:
-        rows = base.withColumn("fp", F.explode(prints)).join(F.broadcast(bench), "fp", "left").where(F.col("item").isNotNull() | F.col("fp").isNull())
+        # Exploding a plain column stays within generated code, so a text isn't copied for each of its prints.
+        rows = base.withColumn("prints", prints).withColumn("fp", F.explode_outer("prints")).drop("prints").join(F.broadcast(bench), "fp", "left").where(F.col("item").isNotNull() | F.col("fp").isNull())
     else:
-        found = base.select("rid", F.explode(prints).alias("fp")).join(bench, "fp")
+        found = base.select("rid", prints.alias("prints")).select("rid", F.explode_outer("prints").alias("fp")).join(bench, "fp")
         rows = base.join(found, "rid", "left")
     p = F.filter(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0))), lambda i: F.get(F.col("h"), i) == F.col("fp"))
     first = F.greatest(F.col("q") - (width - 1), F.lit(0))

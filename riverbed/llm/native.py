@@ -23,4 +23,11 @@ def ascii_lower(x: Column) -> Column:
 def word_list(text: Column) -> Column:
     """Runs of ASCII letters, digits and non-ASCII characters; a null text has none."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    return F.filter(parts, lambda w: w != "")
+
+    def inner(p: Column) -> Column:
+        """Only the first and the last part can be empty."""
+        first = (F.get(p, F.lit(0)) == "").cast("int")
+        last = ((F.size(p) > 1) & (F.get(p, F.size(p) - 1) == "")).cast("int")
+        return F.slice(p, first + 1, F.size(p) - first - last)
+
+    return let(parts, inner)
