@@ -11,6 +11,8 @@ from .common import Scratch, tune
 MAX_SHARE = 0.1
 #: ... and on so many of them at least.
 MIN_PAGES = 5
+#: Lines to drop, over all hosts, that are broadcast at most; more meet their pages by a shuffle.
+BROADCAST_LINES = 200_000
 _SCRIPTS, _TAGS = r"<(script|style)[^>]*>[^<]*(<[^/][^<]*|</[^s][^<]*)*</(script|style)>", r"<[^>]*>"
 
 
@@ -39,16 +41,31 @@ def dedup(spark: SparkSession, pages: DataFrame, host: Column, lines: Column, ma
     nothing but boilerplate keeps an empty array.
 
     Lines are counted by (host, 128-bit hash), pre-aggregated before the shuffle, so a host with most of the pages or a
-    line on all of them is no hot key; pages meet their dropped lines by row key.
+    line on all of them is no hot key. A host has at most 1 / max_share times the lines of its mean page to drop, so they
+    go to the pages as one array for each host while all of them are few, and pages aren't shuffled; otherwise pages meet
+    their dropped lines by row key.
     """
     tune(spark)
     scratch = Scratch(spark, "lines")
-    base = scratch.save(pages.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("page"), F.coalesce(F.concat(F.lit("h"), host), F.lit("")).alias("host"), lines.alias("lines")))
-    key = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(17), x).alias("b"))
+    first, second = (lambda x: F.xxhash64(x)), (lambda x: F.xxhash64(F.lit(17), x))
+    base = pages.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("page"), F.coalesce(F.concat(F.lit("h"), host), F.lit("")).alias("host"), lines.alias("lines"))
+    key = lambda x: F.struct(first(x).alias("a"), second(x).alias("b"))
+    full = F.filter("lines", lambda x: F.trim(x) != "")
+
+    def counted(base: DataFrame) -> DataFrame:
+        return base.select("rid", "host", F.explode(F.array_distinct(F.transform(full, key))).alias("k")).select("rid", "host", "k.a", "k.b")
+
     total = base.groupBy("host").agg(F.count("*").alias("total"))
-    each = base.select("rid", "host", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), key))).alias("k")).select("rid", "host", "k.a", "k.b")
-    often = each.groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = counted(base).groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     bad = scratch.save(often.join(total, "host").where(F.col("n") > max_share * F.col("total")).select("host", "a", "b"))
-    gone = each.join(bad, ["host", "a", "b"]).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("gone", key(x))))
-    return base.join(gone, "rid", "left").select("page", F.when(F.col("host") != "", F.substring("host", 2, 1 << 30)).alias("host"), "lines", kept.alias("kept"))
+    if bad.count() <= BROADCAST_LINES:
+        gone = bad.groupBy("host").agg(F.collect_list("a").alias("bad"))
+        out = base.join(F.broadcast(gone), "host", "left").withColumn("gone", F.array_intersect(F.transform(full, first), "bad"))
+        drop = lambda x: F.array_contains("gone", first(x))
+    else:
+        base = scratch.save(base)
+        gone = counted(base).join(bad, ["host", "a", "b"]).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+        out = base.join(gone, "rid", "left")
+        drop = lambda x: F.array_contains("gone", key(x))
+    kept = F.when(F.coalesce(F.size("gone"), F.lit(0)) <= 0, F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~drop(x)))
+    return out.select("page", F.when(F.col("host") != "", F.substring("host", 2, 1 << 30)).alias("host"), "lines", kept.alias("kept"))

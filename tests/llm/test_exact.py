@@ -159,7 +159,9 @@ def test_decontamination_by_shuffle_and_without_items(spark, odd, collected, mon
     assert [r["c"] for r in c.collect()] == [False, True, False, False]
 
 
-def test_site_lines(spark, odd):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_site_lines(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", few)
     rng = random.Random(6)
     pages = []
     for i in range(400):
