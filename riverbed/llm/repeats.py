@@ -98,10 +98,15 @@ def occurrences(base: DataFrame, win: Windows) -> DataFrame:
     return arrow_map(base.select("rid", "id", "text"), run, kind)
 
 
-def repeated(scratch: Scratch, base: DataFrame, win: Windows) -> DataFrame:
-    """The occurrences whose q-gram occurs at least twice."""
-    occ = scratch.save(occurrences(base, win))
-    twice = scratch.save(occ.groupBy("q").agg(F.count("*").alias("c")).where("c > 1").select("q"))
+def repeated(scratch: Scratch, base: DataFrame, win: Windows, keep: bool) -> DataFrame:
+    """The occurrences whose q-gram occurs at least twice.
+
+    With ``keep`` all occurrences are written first; otherwise they are worked out twice, first for their q-grams alone,
+    which suits short windows, with which they would be the largest table.
+    """
+    occ = scratch.save(occurrences(base, win)) if keep else occurrences(base, win)
+    twice = scratch.save(occ.select("q").groupBy("q").agg(F.count("*").alias("c")).where("c > 1").select("q"))
+    scratch.collect()
     out = scratch.save(occ.join(twice, "q"))
     scratch.drop(occ, twice)
     return out

@@ -86,7 +86,7 @@ def _first_bits(ctx: DataFrame, win: Windows, scratch: Scratch) -> DataFrame:
 def later_repeats(scratch: Scratch, base: DataFrame, window: int, gram: int) -> DataFrame:
     """(rid, spans) of base (rid, id, text): word ranges covered by a window of words that also starts earlier."""
     win = Windows(window, gram, words=True)
-    occ = repeated(scratch, base, win)
+    occ = repeated(scratch, base, win, keep=False)
     order = F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))).alias("o")
     nodes = occ.select("*", order).groupBy("q", "node").agg(F.count("*").alias("weight"), F.min(F.struct("o", "rid", "s", "n")).alias("f"))
     nodes = scratch.save(nodes.select("q", "node", "weight", "f.o", "f.rid", "f.s", "f.n"))

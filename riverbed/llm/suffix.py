@@ -82,7 +82,7 @@ def _open_bits(ctx: DataFrame, win: Windows, scratch: Scratch) -> DataFrame:
 def repeated_bytes(scratch: Scratch, base: DataFrame, window: int, gram: int) -> DataFrame:
     """(rid, spans) of base (rid, id, text): byte ranges covered by a string of ``window`` bytes that starts elsewhere too."""
     win = Windows(window, gram, words=False)
-    occ = repeated(scratch, base, win)
+    occ = repeated(scratch, base, win, keep=True)
     nodes = scratch.save(occ.groupBy("q", "node").agg(F.count("*").alias("weight"), F.min(F.struct("rid", "s", "n")).alias("f")).select("q", "node", "weight", "f.rid", "f.s", "f.n"))
     sizes = scratch.save(nodes.groupBy("q").agg(F.count("*").alias("size")))
     nodes = nodes.join(sizes, "q")
