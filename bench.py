@@ -23,6 +23,14 @@ def selective(n: int) -> Registry:
     return r
 
 
+def ranges(n: int) -> Registry:
+    """n narrow ranges."""
+    r = Registry()
+    for i in range(n):
+        r.add("main", f"c{i % 50}", f"q{i}", f"value=>={i * 100 / n}&value=<{i * 100 / n + 0.02}")
+    return r
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -52,6 +60,8 @@ def main() -> None:
         if n <= 100:
             timed(f"scan_{n}", lambda r=r: match_by_filter(e, r, event))
             rates[f"scan_{n}"] = round(n_events / took[f"scan_{n}"])
+    timed("ranges_10000", lambda r=ranges(10_000): match_by_join(e, r, event, key=["event_id"]))
+    rates["ranges_10000"] = round(n_events / took["ranges_10000"])
     print(json.dumps({"metric": "headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "events_per_sec": rates, "sf": sf.rstrip("/").rpartition("sf")[2]}))
 
 

@@ -7,6 +7,9 @@ checks the others on what is found, and suits many.
 
 from __future__ import annotations
 
+import math
+from statistics import median
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from ..plans.registry import STANDING, Registry
 
 #: Conjunctions that are broadcast at most; a larger registry is joined by a shuffle on its anchors.
 BROADCAST_CONJUNCTIONS = 100_000
+#: Closed numeric ranges on one path from which they are looked up by bins, and bins that one of them may take.
+BINNED_RANGES, MAX_BINS = 32, 8
 
 
 def match_by_filter(events: DataFrame, registry: Registry, event: Event, channel: str = "channel") -> DataFrame:
@@ -65,6 +70,32 @@ def extracted(events: DataFrame, registry: Registry, event: Event) -> DataFrame:
     return events.withColumns({"scalars__": scalars, "arrays__": arrays})
 
 
+def in_bins(rows: list[tuple]) -> tuple[list[tuple], dict[str, float]]:
+    """Registry rows with closed numeric ranges dealt over bins, a row for each bin, and the bins' width by path.
+
+    A path's bins are as wide as its median range, so most ranges take two. An event falls into one bin of a path and so
+    meets a conjunction once. Ranges over many bins stay as they are.
+    """
+    bounds = {}
+    for r in rows:
+        t = next((t for t in r[8] if t[0] == "range" and t[1] == r[6]), None) if r[5] == "range" else None
+        if t and t[2] == "number" and t[6] and t[7] and math.isfinite(t[3]) and math.isfinite(t[8]):
+            bounds[r[3]] = (r[6], t[3], t[8])
+    spans: dict[str, list[float]] = {}
+    for path, lo, hi in bounds.values():
+        spans.setdefault(path, []).append(hi - lo)
+    widths = {p: w for p, s in spans.items() if len(s) >= BINNED_RANGES and math.isfinite(w := median(s) or 1.0)}
+    out = []
+    for r in rows:
+        path, lo, hi = bounds.get(r[3], (None, 0, 0))
+        w = widths.get(path)
+        if w and max(abs(lo), abs(hi)) / w < 2**52 and (last := math.floor(hi / w)) - (first := math.floor(lo / w)) < MAX_BINS:
+            out += [(*r[:5], "bin", path, str(b), *r[8:]) for b in range(first, last + 1)]
+        else:
+            out.append(r)
+    return out, widths
+
+
 def match_by_join(events: DataFrame, registry: Registry, event: Event, channel: str = "channel", key: list[str] | None = None) -> DataFrame:
     """``events`` with client_id and query_id, a row for each matching query.
 
@@ -73,12 +104,12 @@ def match_by_join(events: DataFrame, registry: Registry, event: Event, channel:
     """
     spark = events.sparkSession
     kept = events.columns
-    rows = registry.rows()
+    rows, widths = in_bins(registry.rows())
     table = spark.createDataFrame(rows, STANDING)
     if len(rows) <= BROADCAST_CONJUNCTIONS:
         table = F.broadcast(table)
     table = table.withColumnRenamed("channel", "channel__")
-    by = {k: [r for r in rows if r[5] == k] for k in ("eq", "prefix", "range", "all")}
+    by = {k: [r for r in rows if r[5] == k] for k in ("eq", "prefix", "bin", "range", "all")}
     e = extracted(events, registry, event)
     same_channel = F.col(channel) == F.col("channel__")
     left = F.forall("terms", lambda t: holds(t, F.col("scalars__"), F.col("arrays__")))
@@ -95,6 +126,11 @@ def match_by_join(events: DataFrame, registry: Registry, event: Event, channel:
         probes = [F.struct(F.lit(p).alias("p"), F.when(F.length(F.element_at("scalars__", p)["str"]) >= n, F.left(F.element_at("scalars__", p)["str"], F.lit(n))).alias("k")) for p, n in sizes]
         x = e.withColumn("at__", F.explode(F.filter(F.array(*probes), lambda y: y["k"].isNotNull())))
         parts.append(x.join(table.where("anchor = 'prefix'"), same_channel & (F.col("at__.p") == F.col("path")) & (F.col("at__.k") == F.col("key")) & left))
+    if by["bin"]:
+        number = lambda p: F.element_at(F.col("scalars__"), p)["num"]
+        probes = [F.struct(F.lit(p).alias("p"), F.floor(number(p) / F.lit(w)).cast("string").alias("k")) for p, w in sorted(widths.items())]
+        x = e.withColumn("at__", F.explode(F.filter(F.array(*probes), lambda y: y["k"].isNotNull())))
+        parts.append(x.join(table.where("anchor = 'bin'"), same_channel & (F.col("at__.p") == F.col("path")) & (F.col("at__.k") == F.col("key")) & left))
     if by["range"]:
         paths = sorted({r[6] for r in by["range"]})
         here = F.filter(F.array(*map(F.lit, paths)), lambda p: F.element_at(F.col("scalars__"), p).isNotNull())
