@@ -240,7 +240,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             yield _sparse(np.where(before < 0, k + 1, p[before]) * (k + 2) + p[at])
 
     cols = ("train", "off", "tokens", "words", "counts")
-    pairs = arrow_map(t.select(*cols), neighbours, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # (core + 2)**2 rows at most
+    pairs = scratch.save(arrow_map(t.select(*cols), neighbours, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    pairs = pairs.toArrow()  # (core + 2)**2 rows at most
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     counts = np.zeros((k + 2) ** 2)
     counts[pairs["k"].to_numpy()] = pairs["c"].to_numpy()
     counts = counts.reshape(k + 2, k + 2)
