@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import Scratch, arrow_map, pack, text_buffer, tune
+from .common import Scratch, arrow_map, pack, slices, text_buffer, tune
 
 #: Words that the exchange algorithm places, classes, sweeps over the words; bytes of text in a block.
-CORE, CLASSES, SWEEPS, BLOCK_BYTES = 1000, 32, 6, 8_000_000
+CORE, CLASSES, SWEEPS, BLOCK_BYTES = 1000, 32, 6, 3_000_000
 #: Each block names so many of its most frequent words as candidates for the core.
 CANDIDATES = 4000
 #: The end of a text is a token, and a class of its own.
@@ -35,21 +35,23 @@ def block_of(parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]], n
     """One row: ids, train flags, text offsets and word numbers of a block, and its dictionary (hashes, training counts)."""
     ids = pa.concat_arrays([p[0] for p in parts])
     train = np.concatenate([p[1] for p in parts])
-    raw = np.concatenate([p[2] for p in parts])
-    sizes = np.concatenate([np.diff(p[3]) for p in parts])
-    off = np.concatenate([[0], np.cumsum(sizes)])
+    n = np.concatenate([p[3] for p in parts])
+    words, local = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+    local = local.astype(np.int32)
+    count = np.bincount(local[np.repeat(train, n)], minlength=len(words))
+    list_of = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([list_of, pack([train.astype(np.uint8)]), pack([np.concatenate([[0], np.cumsum(n)])]), pack([local]), pack([words]), pack([count.astype(np.int64)])], names)
+
+
+def tokens_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts back to back, each text with its end, and how many each has."""
     starts, ends, by = rolling.words(raw, off)
-    h = rolling.word_hashes(raw, starts, ends, True)
     n = np.diff(by) + 1
-    o = np.concatenate([[0], np.cumsum(n)])
-    tokens = np.full(int(o[-1]), END, np.uint64)
+    tokens = np.full(int(n.sum()), END, np.uint64)
     word = np.ones(len(tokens), bool)
-    word[o[1:] - 1] = False
-    tokens[word] = h
-    words, local = np.unique(tokens, return_inverse=True)
-    count = np.bincount(local[np.repeat(train, n)], minlength=len(words))
-    list_of = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    return pa.RecordBatch.from_arrays([list_of, pack([train.astype(np.uint8)]), pack([o]), pack([local.astype(np.int32)]), pack([words]), pack([count.astype(np.int64)])], names)
+    word[np.cumsum(n) - 1] = False
+    tokens[word] = rolling.word_hashes(raw, starts, ends, True)
+    return tokens, n
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -60,11 +62,13 @@ def blocks(docs: DataFrame) -> DataFrame:
         held, size = [], 0
         for b in batches:
             raw, off = text_buffer(b.column(2))
-            held.append((b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(bool), raw.copy(), off))
-            size += len(raw)
-            if size >= BLOCK_BYTES:
-                yield block_of(held, names)
-                held, size = [], 0
+            train = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi in slices(off, 1_000_000):
+                held.append((b.column(0).slice(lo, hi - lo), train[lo:hi], *tokens_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])))
+                size += int(off[hi] - off[lo])
+                if size >= BLOCK_BYTES:
+                    yield block_of(held, names)
+                    held, size = [], 0
         if held:
             yield block_of(held, names)
 
@@ -289,6 +293,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     packed = F.shiftleft(F.col("c"), 6).bitwiseOR(F.col("cls").cast("long"))
     dictionary = dealt.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list(packed).alias("v"))
     full = scratch.save(t.join(dictionary, "block", "left").select("ids", *cols, "i", "v"))
+    scratch.drop(t, vocabulary)
 
     def looked_up(b: Block, i: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
         count, cls = np.zeros(len(b.words), np.int64), np.full(len(b.words), -1, np.int64)
