@@ -1,236 +1,72 @@
-"""A context-mixing range coder for token ids, and the binary block format written with it.
+"""A context-mixing range coder for token ids, and the binary files written with it.
 
-Ids are cut into blocks of ``BLOCK`` tokens that are coded independently: models start empty in each. Many blocks run in
-lockstep as lanes of NumPy arrays. For each token three models offer an id:
+Blocks of ids are coded independently: orders 0 to 2 predict each id, their mixed chances drive a range coder, and every
+block starts anew and has a checksum (see ``TokenCoder.java``). A record holds the blocks of whole documents; a file is a
+Parquet table of records in ascending order of the documents' ids, with each document's place.
 
-- order 2: what followed these two ids last time, with a confidence;
-- order 1: what followed this one, with a confidence;
-- order 0: ids seen so far in the block, found by their low byte.
-
-Each model also keeps adaptive counts of how it went (hit by order 2, by order 1, by order 0, or new), and the three
-distributions are mixed with weights that follow each model's recent success. The mixed distribution drives a range
-coder; an order-0 hit adds the low byte, a new id all its bytes, on a side stream. Encoder and decoder share
-``Model``, so they make the same floating-point numbers.
-
-A record holds whole documents: magic, counts, CRC-32 of each block's ids, and the streams of all blocks.
+The coder is sequential by nature, and NumPy needs over a microsecond for a token. So it is a Java class of two functions
+on binary columns, which Spark's own run-time compiler translates; executors get it as a jar.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
+import os
+import pkgutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import units
-from .common import Scratch, arrow_map, binary, slices, text_buffer, tune
+from .common import Scratch, binary, slices, text_buffer, tune
 
-#: Tokens in a block, and slots of its order-1 and order-2 tables.
-BLOCK, SLOTS = 2048, 2048
 #: Tokens in a record, about; a record has whole documents.
-RECORD = 3_000_000
-MAGIC = b"TCM1"
-MASK32 = np.uint64(0xFFFFFFFF)
-MASK48 = np.uint64((1 << 48) - 1)
-SCALE = 32768
-
-
-class Model:
-    """The state of n lanes. Ids are under 2**24; predictions are stored plus 1, so 0 is none."""
-
-    def __init__(self, n: int):
-        self.n, self.lane = n, np.arange(n)
-        self.row = self.lane * SLOTS
-        self.t2, self.t1 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.k2, self.k1 = np.zeros(n * SLOTS, np.uint8), np.zeros(n * SLOTS, np.uint8)
-        self.t0, self.row0 = np.zeros(n * 256, np.int32), self.lane * 256
-        start = np.array([0.4, 0.3, 0.6, 1.0], np.float32)
-        self.d2 = np.tile(start, (n * 8, 1))
-        self.d1 = np.tile(start, (n * 8, 1))
-        self.d0 = np.tile(start, (n, 1))
-        self.w = np.full((3, n), 1 / 3, np.float32)
-        self.c1 = self.c2 = np.zeros(n, np.int64)
-
-    def predict(self) -> None:
-        """Sets the ids offered and the widths of the four outcomes (at least 1, their sum is ``total``)."""
-        mixed = self.c1 * 0x9E3779B1 & 0xFFFFFFFF
-        self.i1 = self.row + (mixed >> 21)
-        self.i2 = self.row + (((mixed + self.c2 * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF) >> 21)
-        self.p2, self.p1 = self.t2[self.i2], self.t1[self.i1]
-        self.q2, self.q1 = self.lane * 8 + self.k2[self.i2], self.lane * 8 + self.k1[self.i1]
-        a, b, c = self.d2[self.q2], self.d1[self.q1], self.d0
-        self.s = [x / (x[:, 0] + x[:, 1] + x[:, 2] + x[:, 3])[:, None] for x in (a, b, c)]
-        w = self.w
-        m = self.s[0] * w[0][:, None] + self.s[1] * w[1][:, None] + self.s[2] * w[2][:, None]
-        # A model that has nothing to offer, or the same as a higher one, can't be hit.
-        m[:, 0] *= self.p2 > 0
-        m[:, 1] *= (self.p1 > 0) & (self.p1 != self.p2)
-        self.m = m
-        f = (m * np.float32(SCALE)).astype(np.int64) + 1
-        self.width = f
-        self.total = f[:, 0] + f[:, 1] + f[:, 2] + f[:, 3]
+RECORD = 1_000_000
+_CLASS = "riverbed.llm.TokenCoder"
+_loaders: dict[str, object] = {}
 
-    def classify(self, ids: np.ndarray) -> np.ndarray:
-        x = ids + 1
-        return np.where(x == self.p2, 0, np.where(x == self.p1, 1, np.where(self.t0[self.row0 + (ids & 255)] == x, 2, 3)))
 
-    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        lane, x = self.lane, (ids + 1).astype(np.int32)
-        seen = np.stack([s[lane, kind] for s in self.s])
-        w = (self.w + np.float32(0.02)) * seen
-        self.w = w / (w[0] + w[1] + w[2])
-        self.d2[self.q2, kind] += np.float32(1)
-        self.d1[self.q1, kind] += np.float32(1)
-        self.d0[lane, kind] += np.float32(1)
-        for t, k, i, p in ((self.t2, self.k2, self.i2, self.p2), (self.t1, self.k1, self.i1, self.p1)):
-            have = k[i]
-            hit = p == x
-            # A miss halves the confidence; a prediction without any is replaced.
-            k[i] = np.where(hit, np.minimum(have + 1, 7), have >> 1)
-            t[i] = np.where(hit | (have > 1), p, x)
-        self.t0[self.row0 + (ids & 255)] = x
-        self.c2, self.c1 = self.c1, ids
+def _loader(spark: SparkSession) -> object:
+    """The class loader of the compiled coder, once for each application; executors get its classes as a jar."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _loaders:
+        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(pkgutil.get_data(__package__, "TokenCoder.java").decode())
+        classes = compiler.getBytecodes()
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="coder-")), "coder.jar")
+        with zipfile.ZipFile(path, "w") as jar:
+            for name in classes:
+                jar.writestr(f"{name.replace('.', '/')}.class", bytes(classes[name]))
+        sc._jsc.addJar(f"file://{path}")
+        _loaders[sc.applicationId] = compiler.getClassLoader()
+    return _loaders[sc.applicationId]
 
 
-def _lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks as columns, the longest first, and their lengths."""
-    n = max(1, -(-len(ids) // BLOCK))
-    size = np.full(n, BLOCK, np.int64)
-    size[-1] = len(ids) - BLOCK * (n - 1)
-    out = np.zeros(n * BLOCK, np.int64)
-    out[: len(ids)] = ids
-    return np.ascontiguousarray(out.reshape(n, BLOCK).T), size
+def _function(spark: SparkSession, kind: str, column: Column) -> Column:
+    name = f"riverbed_token_ids_{kind.lower()}"
+    kind_class = _loader(spark).loadClass(f"{_CLASS}${kind}")
+    spark._jsparkSession.udf().register(name, kind_class.newInstance(), spark._jvm.org.apache.spark.sql.types.DataType.fromJson('"binary"'))
+    return F.call_function(name, column)
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """A record of these ids (under 2**24)."""
-    grid, size = _lanes(np.asarray(ids, np.int64))
-    n = len(size)
-    model = Model(n)
-    low, range_ = np.zeros(n, np.uint64), np.full(n, MASK48, np.uint64)
-    codes = np.zeros((n, BLOCK + 8), np.uint16)
-    at = np.zeros(n, np.int64)
-    kinds = np.full((BLOCK, n), 255, np.uint8)
-    last = size[-1]
+def encode(spark: SparkSession, ids: Column) -> Column:
+    """Records of binary ids (little-endian unsigned 32-bit, under 2**24)."""
+    return _function(spark, "Encode", ids)
 
-    def put(rows: np.ndarray) -> None:
-        codes[rows, at[rows]] = (low[rows] >> np.uint64(32)).astype(np.uint16)
-        at[rows] += 1
-        low[rows] = (low[rows] << np.uint64(16)) & MASK48
-        range_[rows] = (range_[rows] << np.uint64(16)) & MASK48
 
-    for step in range(BLOCK if n > 1 else int(last)):
-        x = grid[step]
-        model.predict()
-        kind = model.classify(x)
-        width = model.width
-        cum = np.where(kind > 0, width[:, 0], 0) + np.where(kind > 1, width[:, 1], 0) + np.where(kind > 2, width[:, 2], 0)
-        r = range_ // model.total.astype(np.uint64)
-        low = (low + r * cum.astype(np.uint64)) & MASK48
-        range_ = r * width[model.lane, kind].astype(np.uint64)
-        while True:
-            far = ((low ^ (low + range_)) >> np.uint64(32)) != 0
-            thin = far & (range_ < np.uint64(1 << 24))
-            if thin.any():  # the range straddles a carry: cut it short, so that it no longer does
-                range_[thin] = (~low[thin] + np.uint64(1)) & np.uint64((1 << 24) - 1)
-            rows = np.flatnonzero(~far | thin)
-            if not len(rows):
-                break
-            put(rows)
-        kinds[step] = kind
-        model.update(x, kind)
-        if step == last - 1:  # the short block ends; its lane goes on unseen
-            cut = (at[-1], low[-1], range_[-1])
-    kinds[last:, -1] = 255
-    at[-1], low[-1], range_[-1] = cut if last else (0, 0, 0)
-    rows = np.arange(n)
-    for _ in range(3):
-        put(rows)
-    k, x = kinds.T.ravel(), grid.T.ravel()
-    wide = 3 if int(grid.max(initial=0)) > 0xFFFF else 2
-    length = np.where(k == 2, 1, np.where(k == 3, wide, 0))
-    side = np.zeros(int(length.sum()), np.uint8)
-    pos = np.cumsum(length) - length
-    for j in range(wide):
-        on = (length > 0) & (j < length)
-        side[pos[on] + j] = (x[on] >> (8 * j)) & 255
-    sides = length.reshape(n, BLOCK).sum(axis=1)
-    body = b"".join(codes[i, : at[i]].tobytes() for i in range(n))
-    flat = np.asarray(ids, np.uint32)
-    crcs = np.array([zlib.crc32(flat[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(n)], np.uint32)
-    head = MAGIC + struct.pack("<QIB", len(flat), n, wide)
-    return head + crcs.tobytes() + at.astype(np.uint16).tobytes() + sides.astype(np.uint16).tobytes() + body + side.tobytes()
-
-
-def decode(record: bytes) -> np.ndarray:
-    """The ids of a record; a damaged one raises ValueError."""
-    if record[:4] != MAGIC:
-        raise ValueError("not a record of token ids")
-    count, n, wide = struct.unpack_from("<QIB", record, 4)
-    o = 17
-    crcs = np.frombuffer(record, np.uint32, n, o)
-    words, sides = np.frombuffer(record, np.uint16, n, o + 4 * n).astype(np.int64), np.frombuffer(record, np.uint16, n, o + 6 * n).astype(np.int64)
-    o += 8 * n
-    body = np.append(np.frombuffer(record, np.uint16, int(words.sum()), o), np.zeros(16, np.uint16)).astype(np.uint64)
-    side = np.append(np.frombuffer(record, np.uint8, int(sides.sum()), o + 2 * int(words.sum())), np.zeros(4, np.uint8)).astype(np.int64)
-    at, s_at = np.cumsum(words) - words, np.cumsum(sides) - sides
-    last = count - BLOCK * (n - 1)
-    model = Model(n)
-    low, range_, code = np.zeros(n, np.uint64), np.full(n, MASK48, np.uint64), np.zeros(n, np.uint64)
-    top, s_top = len(body) - 1, len(side) - 4
-    for _ in range(3):
-        code = (code << np.uint64(16)) | body[np.minimum(at, top)]
-        at = at + 1
-    out = np.zeros((BLOCK, n), np.int64)
-    for step in range(BLOCK if n > 1 else last):
-        model.predict()
-        width = model.width
-        r = range_ // model.total.astype(np.uint64)
-        v = np.minimum(((code - low) & MASK48) // r, model.total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-        e0 = width[:, 0]
-        e1 = e0 + width[:, 1]
-        e2 = e1 + width[:, 2]
-        kind = (v >= e0).astype(np.int64) + (v >= e1) + (v >= e2)
-        cum = np.where(kind > 0, width[:, 0], 0) + np.where(kind > 1, width[:, 1], 0) + np.where(kind > 2, width[:, 2], 0)
-        low = (low + r * cum.astype(np.uint64)) & MASK48
-        range_ = r * width[model.lane, kind].astype(np.uint64)
-        while True:
-            far = ((low ^ (low + range_)) >> np.uint64(32)) != 0
-            thin = far & (range_ < np.uint64(1 << 24))
-            if thin.any():
-                range_[thin] = (~low[thin] + np.uint64(1)) & np.uint64((1 << 24) - 1)
-            rows = np.flatnonzero(~far | thin)
-            if not len(rows):
-                break
-            low[rows] = (low[rows] << np.uint64(16)) & MASK48
-            range_[rows] = (range_[rows] << np.uint64(16)) & MASK48
-            code[rows] = ((code[rows] << np.uint64(16)) & MASK48) | body[np.minimum(at[rows], top)]
-            at[rows] += 1
-        b = np.minimum(s_at, s_top)
-        byte = side[b]
-        whole = byte | side[b + 1] << 8
-        if wide == 3:
-            whole = whole | side[b + 2] << 16
-        x = np.where(kind == 0, model.p2 - 1, np.where(kind == 1, model.p1 - 1, np.where(kind == 2, model.t0[model.row0 + byte] - 1, whole))).astype(np.int64)
-        x = np.where((x < 0) | (x >= 1 << 24), 0, x)
-        s_at = s_at + np.where(kind == 2, 1, np.where(kind == 3, wide, 0))
-        out[step] = x
-        model.update(x, kind)
-    flat = np.ascontiguousarray(out.T).ravel()[:count].astype(np.uint32)
-    for i in range(n):
-        if zlib.crc32(flat[i * BLOCK : (i + 1) * BLOCK].tobytes()) != crcs[i]:
-            raise ValueError(f"block {i} is damaged")
-    return flat
+def decode(spark: SparkSession, record: Column) -> Column:
+    """The binary ids of records; a damaged one is an error that names the block."""
+    return _function(spark, "Decode", record)
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, drops_space: bool = False, end: int = 0, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
-    """Writes records in ascending id order as a table of (part, seq, ids, sizes, record): documents' ids and token
-    counts, and their tokens, each document with ``end`` after it. Null ids come first; equal ids in any order."""
+    """Writes records in ascending id order as a table of (part, before, docs, record): documents' ids and places, and their
+    tokens, each document with ``end`` after it. Null ids come first; equal ids in any order. ``before`` counts the part's
+    tokens in earlier records. A null text is empty."""
     tune(spark)
     n = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -238,15 +74,16 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, drops
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        tokens, seq = 0, 0
+        before = 0
 
         def flush() -> pa.RecordBatch:
             part, doc_ids, sizes, ids = (list(x) for x in zip(*held, strict=True))
-            names, size = pa.concat_arrays(doc_ids), np.concatenate(sizes)
-            ids_list = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
-            size_list = pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.array(size))
-            return pa.RecordBatch.from_arrays([pa.array([part[0]], pa.int32()), pa.array([seq], pa.int32()), ids_list, size_list, pa.array([encode(np.concatenate(ids))], pa.binary())], ["part", "seq", "ids", "sizes", "record"])
+            size = np.concatenate(sizes)
+            rows = pa.StructArray.from_arrays([pa.concat_arrays(doc_ids), pa.array(np.cumsum(size) - size), pa.array(size)], ["id", "at", "n"])
+            flat = np.concatenate(ids)
+            return pa.RecordBatch.from_arrays([pa.array([part[0]], pa.int32()), pa.array([before]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), binary(flat, [0, len(flat)])], ["part", "before", "docs", "flat"])
 
+        tokens = 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -256,39 +93,25 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, drops
                 tokens += len(ids)
                 if tokens >= RECORD:
                     yield flush()
-                    held, tokens, seq = [], 0, seq + 1
+                    before, tokens, held = before + tokens, 0, []
         if held:
             yield flush()
 
-    ordered.mapInArrow(run, "part int, seq int, ids array<long>, sizes array<long>, record binary").write.parquet(path)
+    rows = ordered.mapInArrow(run, "part int, before long, docs array<struct<id:long,at:long,n:long>>, flat binary")
+    rows.select("part", "before", "docs", encode(spark, F.col("flat")).alias("record")).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ``tokens``, binary, unsigned 32-bit) from the records under ``path``."""
-    tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    schema = "part int, seq int, ids array<long>, sizes array<long>, record binary"
-    table = spark.read.schema(schema).parquet(path)
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    light = table.select("part", "seq", total.alias("n"))
-    # Starts: within a part by record, then over the parts, of which there are as many as files.
-    inside = light.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    parts = light.groupBy("part").agg(F.sum("n").alias("n"))
+    table = spark.read.schema("part int, before long, docs array<struct<id:long,at:long,n:long>>, record binary").parquet(path)
+    # A row for each part of the writer, so this is as small as its number of partitions, and can be broadcast.
+    size = F.element_at("docs", -1)
+    parts = table.select("part", (F.col("before") + size["at"] + size["n"]).alias("n")).groupBy("part").agg(F.max("n").alias("n"))
     ahead = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    starts = inside.join(ahead, "part").select("part", "seq", (F.col("before") + F.col("ahead")).alias("first"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(batch.num_rows):
-            size = batch.column(1)[i].values.to_numpy()
-            ids = decode(batch.column(2)[i].as_py())
-            o = np.concatenate([[0], np.cumsum(size)])
-            view = memoryview(ids).cast("B")
-            crc = np.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], np.int64)
-            cols = [batch.column(0)[i].values, pa.array(o[:-1] + batch.column(3)[i].as_py()), pa.array(size), pa.array(crc)]
-            yield pa.RecordBatch.from_arrays([*cols, *[binary(ids, o)] * keep_ids], ["doc_id", "start", "n_tokens", "ids_crc32", *["tokens"] * keep_ids])
-
-    rows = table.join(starts, ["part", "seq"]).select("ids", "sizes", "record", "first")
-    return arrow_map(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens binary" * keep_ids)
+    flat = table.select("part", "before", "docs", decode(spark, F.col("record")).alias("flat"))
+    rows = flat.join(F.broadcast(ahead), "part").select((F.col("ahead") + F.col("before")).alias("first"), "flat", F.explode_outer("docs").alias("d"))
+    ids = F.substring(F.col("flat"), (4 * F.col("d.at") + 1).cast("int"), (4 * F.col("d.n")).cast("int"))
+    return rows.select(F.col("d.id").alias("doc_id"), (F.col("first") + F.col("d.at")).alias("start"), F.col("d.n").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"), *[ids.alias("tokens")] * keep_ids)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, **options) -> DataFrame:
