@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import brute
 from riverbed.llm import catalog, codec, lm, packing, toxicity, units
-from support import ORACLE, SMALL
+from support import SMALL
 
 WORDS_FILE, BYTES_FILE = catalog.tokenizer("word_bpe_49k.json"), catalog.tokenizer("byte_bpe_50k.json")
 
@@ -94,26 +94,33 @@ def test_units_give_the_tokenizer_ids(odd, path, drops_space):
         assert ids[o[i] : o[i + 1]].tolist() == want[:-1], repr(texts[i])
 
 
-@pytest.mark.parametrize("name,ids", [("none", []), ("one", [7]), ("same", [5] * 5000), ("wide", [2**24 - 2, 70_000, 0] * 900), ("edge", list(range(2048))), ("over", list(range(2049))), ("cycle", [1, 2, 3, 4] * 3000)])
-def test_codec_round_trip(name, ids):
-    assert codec.decode(codec.encode(np.array(ids, np.int64))).tolist() == ids
+def coded(spark, lists):
+    """Records of lists of ids."""
+    df = spark.createDataFrame([(i, bytearray(np.asarray(x, "<u4").tobytes())) for i, x in enumerate(lists)], "i int, ids binary")
+    return df.select("i", "ids", codec.encode(spark, F.col("ids")).alias("record"))
 
 
-def test_codec_on_text_like_ids_and_damage():
+def test_codec_round_trip(spark):
     rng = np.random.default_rng(1)
-    ids = rng.zipf(1.3, 50_000) % 50_000
-    record = codec.encode(ids)
-    assert (codec.decode(record) == ids).all() and len(record) < 2 * len(ids)
-    text = np.tile(rng.integers(0, 50_000, 40), 500)
-    assert len(codec.encode(text)) < 0.5 * len(text)  # what repeats is predicted
-    for at in (len(record) // 3, len(record) // 2, len(record) - 5):
-        bad = bytearray(record)
-        bad[at] ^= 0x55
-        with pytest.raises(ValueError):
-            if (codec.decode(bytes(bad)) != ids).any():
-                raise AssertionError("damage went unseen")
-    with pytest.raises(ValueError):
-        codec.decode(b"XXXX" + record[4:])
+    lists = [[], [7], [5] * 5000, [2**24 - 2, 70_000, 0] * 9000, list(range(8191)), list(range(8192)), list(range(8193)), [1, 2, 3, 4] * 30_000, rng.integers(0, 2**24 - 1, 20_000), rng.zipf(1.3, 50_000) % 50_000, np.tile(rng.integers(0, 50_000, 40), 500)]
+    rows = coded(spark, lists).select("i", "ids", F.length("record").alias("n"), codec.decode(spark, F.col("record")).alias("back")).orderBy("i").collect()
+    assert all(r["ids"] == r["back"] for r in rows)
+    assert rows[2]["n"] < 200 and rows[7]["n"] < 0.05 * len(rows[7]["ids"]) and rows[9]["n"] < 0.5 * len(rows[9]["ids"])  # what is predicted costs little
+    with pytest.raises(Exception, match="an id of 16777216"):
+        coded(spark, [[2**24]]).collect()
+
+
+def test_damage_is_seen(spark):
+    ids = np.random.default_rng(1).zipf(1.3, 30_000) % 50_000
+    record = bytes(coded(spark, [ids]).first()["record"])
+    bad = [b"XXXX" + record[4:], record[:-3], record[:10]]
+    for at in (6, 14, len(record) // 3, len(record) // 2, len(record) - 5):
+        x = bytearray(record)
+        x[at] ^= 0x55
+        bad.append(bytes(x))
+    for x in bad:
+        with pytest.raises(Exception, match="damaged|not a record"):
+            spark.createDataFrame([(bytearray(x),)], "r binary").select(codec.decode(spark, F.col("r"))).collect()
 
 
 def rows_for_tokens(rows):
@@ -202,11 +209,12 @@ def test_exchange_finds_classes():
 
 
 def test_toxicity_on_held_out_documents(spark):
-    out = toxicity.score(spark, catalog.table(spark, ORACLE, "documents"), catalog.table(spark, ORACLE, "labels"))
-    rows = out.where("held_out").join(catalog.table(spark, ORACLE, "labels"), "doc_id").where("toxic IS NOT NULL").collect()
+    folder = "/root/testdata/sf0.1"
+    out = toxicity.score(spark, catalog.table(spark, folder, "documents"), catalog.table(spark, folder, "labels"))
+    rows = out.where("held_out").join(catalog.table(spark, folder, "labels"), "doc_id").where("toxic IS NOT NULL").collect()
     s, y = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
     auc = (s[y == 1][:, None] > s[y == 0][None, :]).mean()
-    assert auc > 0.9 and ((s >= 0.5) == y).mean() > 0.9
+    assert auc > 0.95 and ((s >= 0.5) == y).mean() > 0.95
     assert out.where("(score >= 0.5) <> (predicted = 1) OR score < 0 OR score > 1").count() == 0
 
 
