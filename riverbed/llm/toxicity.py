@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import arrow_map, slices, text_buffer, tune
+from .common import arrow_map, pack, slices, text_buffer, tune
 
 #: Labelled documents that training takes at most: those with the smallest hash of their id.
 MAX_TRAINING = 8_000
@@ -69,15 +70,29 @@ def noisy_or(z: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, n
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """Weights of the features that are used; all others count for nothing."""
+
+    used: np.ndarray
+    values: np.ndarray
     bias: float
-    shift: float = 0.0
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "weights"}
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        """The whole table, made where texts are scored."""
+        w = np.zeros(1 << BITS, np.float32)
+        w[self.used] = self.values
+        return w
 
     def sentences(self, feature: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(sentence, self.weights[feature], n) + self.bias
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document scores, and for each document the first byte of its most toxic sentence."""
+        if not len(self.used):  # nothing was learnt: the share of toxic documents for all
+            return np.full(len(offsets) - 1, 1 / (1 + math.exp(-self.bias))), np.zeros(len(offsets) - 1, np.int64)
         feature, sentence, doc, opens = features(raw, offsets)
         z = self.sentences(feature, sentence, len(doc))
         none, _ = noisy_or(z, doc, len(offsets) - 1)
@@ -93,9 +108,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, l2: float = 2e-5,
     """
     y = np.asarray(labels, dtype=float)
     rate = (y.sum() + 0.5) / (len(y) + 1)
-    w, bias = np.zeros(1 << BITS, np.float32), math.log(rate / (1 - rate)) if len(y) else 0.0
+    bias = math.log(rate / (1 - rate)) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
-        return Model(w, bias)
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
     data = [x.encode() for x in texts]
     raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])
     cuts = [(a, b, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 1_000_000)]
@@ -111,6 +126,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, l2: float = 2e-5,
     q1, q0 = y.sum() + 1 - p1, (1 - y).sum() + 1 - p0
     z = np.log(p1 * q0 / (p0 * q1)) / np.sqrt(1 / p1 + 1 / p0 + 1 / q1 + 1 / q0)
     used = some[np.abs(z) >= SCREEN]
+    if not len(used):
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[used] = np.arange(len(used))
     fs, ss, ds, base = [], [], [], 0
@@ -158,8 +175,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, l2: float = 2e-5,
             c1, c2 = 1 - 0.9**t, 1 - 0.999**t
             theta += rate_now * (m / c1) / (np.sqrt(v / c2) + 1e-8)
             bias += rate_now * (mb / c1) / (math.sqrt(vb / c2) + 1e-8)
-    w[used] = theta
-    return Model(w, float(bias))
+    return Model(used, theta.astype(np.float32), float(bias))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> DataFrame:
@@ -170,13 +186,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING)
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_bytes: int = MAX_TRAINING_BYTES) -> Model:
-    """Fits on a bounded sample that comes to the driver: ``limit`` rows and ``max_bytes`` of text at most."""
+    """Fits in one task on a bounded sample, ``limit`` rows and ``max_bytes`` of text at most; the driver gets the weights."""
     per_row = max(1, max_bytes // max(1, limit))
     rows = training_rows(docs, labels, limit).where(F.octet_length("text") <= 16 * per_row)
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("half", F.octet_length("text")).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
-    size = np.cumsum(rows["half"].to_numpy()) if rows.num_rows else np.zeros(0)
-    n = int(np.searchsorted(size, max_bytes, side="right"))
-    return fit(rows["text"].to_pylist()[:n], rows["label"].to_pylist()[:n])
+    rows = rows.select("text", "label", F.xxhash64("text").alias("h")).repartition(1).sortWithinPartitions("h", "label").select("text", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, size = [], [], 0
+        for b in batches:
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                size += len(text.encode())
+                if size <= max_bytes:
+                    texts.append(text)
+                    y.append(label)
+        m = fit(texts, y)
+        yield pa.RecordBatch.from_arrays([pack([m.used.astype(np.int64)]), pack([m.values]), pa.array([m.bias])], ["used", "weights", "bias"])
+
+    r = rows.mapInArrow(run, "used binary, weights binary, bias double").first()
+    if r is None:  # without rows there may be no task
+        return fit([], [])
+    return Model(np.frombuffer(r["used"], np.int64), np.frombuffer(r["weights"], np.float32), r["bias"])
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -189,7 +218,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: fl
     language, the id and the label never enter a score.
     """
     tune(spark)
-    model = spark.sparkContext.broadcast(train(docs, labels))  # 2**BITS floats: 16 MB at any size of the input
+    model = spark.sparkContext.broadcast(train(docs, labels))  # weights of 2**BITS features at most, at any size of the input
     base = docs.select(F.col("doc_id"), *keep, F.coalesce("text", F.lit("")).alias("text__"))
     names = base.columns[:-1]
 
