@@ -42,8 +42,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Ships the package and sets small Arrow batches, because one row can be a very long text."""
+    """Ships the package; small Arrow batches, because one row can be a very long text; shuffle files go once a job is done,
+    as nothing but written tables is read again."""
     ship(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
 

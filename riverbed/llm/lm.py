@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,7 +78,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Block:
-    """A block row's arrays, read from columns train, off, tokens, words, counts."""
+    """A block row's arrays, read from columns train, off, tokens, and words and counts where they are needed."""
 
     train: np.ndarray
     off: np.ndarray
@@ -88,7 +88,8 @@ class Block:
 
     @classmethod
     def of(cls, r: dict) -> Block:
-        return cls(np.frombuffer(r["train"], np.uint8).astype(bool), np.frombuffer(r["off"], np.int64), np.frombuffer(r["tokens"], np.int32), np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int64))
+        get = lambda name, kind: np.frombuffer(r.get(name, b""), kind)
+        return cls(get("train", np.uint8).astype(bool), get("off", np.int64), get("tokens", np.int32), get("words", np.uint64), get("counts", np.int64))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the training tokens, and for each the place before it, or -1 at a text's start."""
@@ -276,36 +277,35 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             r_counts = np.bincount(tok[before[inner]].astype(np.int64) * m + g[tok[at[inner]]], minlength=n * m).reshape(n, m)
             likely += r_counts @ steps[:n_cls].T
             vote = np.where(p < k, own[np.minimum(p, k - 1)] if k else 0, np.where(p == k, likely.argmax(axis=1), n_cls))
-            yield pa.RecordBatch.from_arrays([pa.array(b.words.view(np.int64)), pa.array(b.counts), pa.array(vote.astype(np.int32))], ["h", "c", "vote"])
-
-    said = arrow_map(t.select(*cols), votes, "h long, c long, vote int").where("c > 0")
-    by_vote = said.groupBy("h", "vote").agg(F.sum("c").alias("c"))
-    vocabulary = scratch.save(by_vote.groupBy("h").agg(F.sum("c").alias("c"), F.max_by("vote", F.struct("c", "vote")).alias("cls")))
-    kinds = vocabulary.groupBy("cls").agg(F.sum("c").alias("total"), F.count("*").alias("types"), F.sum((F.col("c") == 1).cast("int")).alias("once"), F.sum((F.col("c") == 2).cast("int")).alias("twice")).collect()  # a row for each class
+            yield pa.RecordBatch.from_arrays([pa.array(b.words.view(np.int64)), pa.array(np.full(n, r["block"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(b.counts), pa.array(vote.astype(np.int32))], ["h", "block", "i", "c", "vote"])
+
+    # Every block's words meet once by word, at most one row from each block, and go back with count and class. A word
+    # takes its class from the block in which it is most frequent; ``first`` marks one of its blocks.
+    w = Window.partitionBy("h")
+    said = arrow_map(t.select("block", *cols), votes, "h long, block long, i int, c long, vote int")
+    known = said.select("block", "i", F.sum("c").over(w).alias("c"), F.max_by("vote", F.struct("c", "vote")).over(w).alias("cls"), (F.min("block").over(w) == F.col("block")).alias("first")).where("c > 0")
+    packed = F.shiftleft("c", 7).bitwiseOR(F.shiftleft(F.col("cls").cast("long"), 1)).bitwiseOR(F.col("first").cast("long"))
+    dictionary = scratch.save(known.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list(packed).alias("v")))
+    scratch.collect()
+    v = dictionary.select(F.explode("v").alias("v")).where(F.col("v").bitwiseAND(1) == 1)
+    words = v.select(F.shiftright("v", 7).alias("c"), F.shiftright("v", 1).bitwiseAND(63).cast("int").alias("cls"))
+    kinds = words.groupBy("cls").agg(F.sum("c").alias("total"), F.count("*").alias("types"), F.sum((F.col("c") == 1).cast("int")).alias("once"), F.sum((F.col("c") == 2).cast("int")).alias("twice")).collect()  # a row for each class
     big_n, big_v = sum(r["total"] for r in kinds), sum(r["types"] for r in kinds)
+    cols = ("train", "off", "tokens")
+    # Joined for each of the two passes that are left: writing it would take more room than moving it twice.
+    full = t.select("block", "ids", *cols, (F.octet_length("words") / 8).cast("int").alias("n")).join(dictionary, "block", "left").drop("block")
 
-    def entries(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for r in batch.to_pylist():
-            h = np.frombuffer(r["words"], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), r["block"])), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64))], ["block", "i", "h"])
-
-    dealt = arrow_map(t.select("block", "words"), entries, "block long, i int, h long").join(vocabulary, "h")
-    packed = F.shiftleft(F.col("c"), 6).bitwiseOR(F.col("cls").cast("long"))
-    dictionary = dealt.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list(packed).alias("v"))
-    full = scratch.save(t.join(dictionary, "block", "left").select("ids", *cols, "i", "v"))
-    scratch.drop(t, vocabulary)
-
-    def looked_up(b: Block, i: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        count, cls = np.zeros(len(b.words), np.int64), np.full(len(b.words), -1, np.int64)
+    def looked_up(n: pa.Scalar, i: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        count, cls = np.zeros(n.as_py(), np.int64), np.full(n.as_py(), -1, np.int64)
         if i.is_valid:
             at, x = i.values.to_numpy(), v.values.to_numpy()
-            count[at], cls[at] = x >> 6, x & 63
+            count[at], cls[at] = x >> 7, x >> 1 & 63
         return count, cls
 
     def transitions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for j in range(batch.num_rows):
             b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
-            _, cls = looked_up(b, batch.column("i")[j], batch.column("v")[j])
+            _, cls = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
             at, before = b.pairs()
             yield _sparse(np.where(before < 0, n_cls, cls[b.tokens[before]]) * (n_cls + 1) + cls[b.tokens[at]])
 
@@ -318,7 +318,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for j in range(batch.num_rows):
             b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
-            count, cls = looked_up(b, batch.column("i")[j], batch.column("v")[j])
+            count, cls = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
             c = count[b.tokens]
             base = np.log10((count + 0.5) / (big_n + 0.5 * (big_v + 1)))[b.tokens]
             s = model.score(b, count, cls) if big_n else base
