@@ -1,9 +1,9 @@
 """Language-model scoring with Brown's class-based bigrams.
 
 Frequent words are put into classes by the exchange algorithm: each word moves to the class that gains most average
-mutual information between neighbouring classes. Every other word of the training text joins the class whose
-neighbours it shares, by the votes of all blocks of text. A text's probability is the product of class transitions and
-of word emissions; what absolute discounting takes from a class's words is its chance of a word unseen in training.
+mutual information between neighbouring classes. Every other word of the training text joins the class whose neighbours it
+shares, by all its neighbours in all blocks of text. A text's probability is the product of class transitions and of
+word emissions; what absolute discounting takes from a class's words is its chance of a word unseen in training.
 
 Texts become blocks of word numbers with a dictionary of their own, so only distinct words of a block are shuffled.
 """
@@ -15,17 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import Scratch, arrow_map, pack, slices, text_buffer, tune
+from .common import Scratch, arrow_map, binary, pack, slices, text_buffer, tune
 
 #: Words that the exchange algorithm places, classes, sweeps over the words; bytes of text in a block.
 CORE, CLASSES, SWEEPS, BLOCK_BYTES = 1000, 32, 6, 3_000_000
 #: Each block names so many of its most frequent words as candidates for the core.
 CANDIDATES = 4000
+#: Words meet in parts, one for so many blocks, and a part is held in memory.
+PART_BLOCKS = 6
+MET = "part int, block long, h binary, i binary, c binary, n binary, e binary"
 #: The end of a text is a token, and a class of its own.
 END = 0x454E44
 PULL = 4.0
@@ -146,6 +149,95 @@ def _sparse(keys: np.ndarray, names: tuple[str, str] = ("k", "c")) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], list(names))
 
 
+def neighbours_of(b: Block, cls: np.ndarray, free: np.ndarray, m: int, parts: int, block: int) -> pa.RecordBatch:
+    """A block's words dealt over ``parts``: hash, number, training count, and of those that are ``free`` how often each
+    class (``cls`` by word, the last of ``m`` is a text's end) stands on the left (0 to m - 1) and on the right (m to 2 m - 1).
+
+    An entry is a count below 512 in the high bits and a class in the low 7; larger counts take several entries.
+    """
+    size, tok = len(b.words), b.tokens.astype(np.int64)
+    at, before = b.pairs()
+    inner = before >= 0
+    left = tok[at] * (2 * m) + np.where(inner, cls[tok[before]], m - 1)
+    right = tok[before[inner]] * (2 * m) + m + cls[tok[at[inner]]]
+    found, times = np.unique(np.concatenate([left[free[tok[at]]], right[free[tok[before[inner]]]]]), return_counts=True)
+    again = (times + 510) // 511
+    last = np.cumsum(again) - 1
+    found = np.repeat(found, again)
+    amount = np.full(len(found), 511)
+    amount[last] = times - 511 * (again - 1)
+    word = found // (2 * m)
+    entry = (amount << 7 | found % (2 * m)).astype(np.uint16)
+    n = np.bincount(word, minlength=size).astype(np.int32)
+    part = (b.words >> np.uint64(17)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    entry = entry[np.argsort(rank[word], kind="stable")]
+    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+    ends = np.concatenate([[0], np.cumsum(n[order])])[cuts]
+    some = np.flatnonzero(np.diff(cuts))
+    flat = [binary(x[order], np.append(cuts[some], size)) for x in (b.words, np.arange(size, dtype=np.int32), b.counts, n)]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), *flat, binary(entry, np.append(ends[some], len(entry)))], ["part", "block", "h", "i", "c", "n", "e"])
+
+
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Word hashes, blocks, numbers, counts, numbers of entries and the entries of each part, from rows sorted by part."""
+    held, part = [], None
+
+    def joined() -> tuple[np.ndarray, ...]:
+        h, i, c, n, e = (np.frombuffer(b"".join(r[x] for r in held), kind) for x, kind in (("h", np.uint64), ("i", np.int32), ("c", np.int64), ("n", np.int32), ("e", np.uint16)))
+        return h, np.repeat([r["block"] for r in held], [len(r["i"]) // 4 for r in held]), i, c, n, e
+
+    for b in batches:
+        for r in b.to_pylist():
+            if held and r["part"] != part:
+                yield joined()
+                held = []
+            part = r["part"]
+            held.append(r)
+    if held:
+        yield joined()
+
+
+def likeliest(at: np.ndarray, n: np.ndarray, e: np.ndarray, logs: np.ndarray, size: int) -> np.ndarray:
+    """The class of each of ``size`` words whose neighbours speak most for it: entries ``e``, ``n`` to a row, row's word ``at``."""
+    m = len(logs)
+    word = np.repeat(at, n)
+    order = np.argsort(word, kind="stable")
+    word, e = word[order], e[order]
+    out = np.zeros(size, np.int64)
+    for a in range(0, size, 20_000):
+        z = min(size, a + 20_000)
+        lo, hi = np.searchsorted(word, [a, z])
+        near = np.bincount((word[lo:hi] - a) * m + (e[lo:hi] & 127), e[lo:hi] >> 7, (z - a) * m).reshape(z - a, m)
+        out[a:z] = (near @ logs).argmax(axis=1)
+    return out
+
+
+def answers(block: np.ndarray, i: np.ndarray, c: np.ndarray, at: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each block its words that occur in training: their numbers, and count, class and whether it is the word's first block."""
+    total = np.zeros(len(cls), np.int64)
+    np.add.at(total, at, c)
+    first = np.zeros(len(at), bool)
+    first[np.unique(at, return_index=True)[1]] = True
+    v = total[at] << 7 | cls[at] << 1 | first
+    order = np.flatnonzero(total[at] > 0)
+    order = order[np.argsort(block[order], kind="stable")]
+    blocks, cuts = np.unique(block[order], return_index=True)
+    cuts = np.append(cuts, len(order))
+    yield pa.RecordBatch.from_arrays([pa.array(blocks), binary(i[order], cuts), binary(v[order], cuts)], ["block", "i", "v"])
+
+
+def looked_up(n: pa.Scalar, i: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Training count, class (-1 if it has none) and the first block's mark of a block's ``n`` words."""
+    count, cls, first = np.zeros(n.as_py(), np.int64), np.full(n.as_py(), -1, np.int64), np.zeros(n.as_py(), bool)
+    if i.is_valid:
+        at, x = np.frombuffer(b"".join(i.as_py()), np.int32), np.frombuffer(b"".join(v.as_py()), np.int64)
+        count[at], cls[at], first[at] = x >> 7, x >> 1 & 63, x & 1
+    return count, cls, first
+
+
 @dataclass
 class Model:
     """Log-probabilities (base 10): transitions between classes, unseen words by class; counts and discounts of classes."""
@@ -261,64 +353,57 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     big = one.T @ counts @ one + 0.5
     steps = np.log(big / big.sum(axis=1, keepdims=True))
 
-    def votes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    parts = max(8, t.count() // PART_BLOCKS)
+    logs = np.concatenate([steps[:, :n_cls], steps[:n_cls].T])  # by what stands on the left and on the right
+
+    def seen(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             b = Block.of(r)
             p = place(b.words)
-            g = group[p]
-            at, before = b.pairs()
-            n, m = len(b.words), n_cls + 2
-            tok = b.tokens
-            left = np.where(before < 0, n_cls + 1, g[tok[before]])
-            likely = np.empty((n, n_cls), np.float32)
-            l_counts = np.bincount(tok[at] * m + left, minlength=n * m).reshape(n, m)
-            likely[:] = l_counts @ steps[:, :n_cls]
-            inner = before >= 0
-            r_counts = np.bincount(tok[before[inner]].astype(np.int64) * m + g[tok[at[inner]]], minlength=n * m).reshape(n, m)
-            likely += r_counts @ steps[:n_cls].T
-            vote = np.where(p < k, own[np.minimum(p, k - 1)] if k else 0, np.where(p == k, likely.argmax(axis=1), n_cls))
-            yield pa.RecordBatch.from_arrays([pa.array(b.words.view(np.int64)), pa.array(np.full(n, r["block"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(b.counts), pa.array(vote.astype(np.int32))], ["h", "block", "i", "c", "vote"])
-
-    # Every block's words meet once by word, at most one row from each block, and go back with count and class. A word
-    # takes its class from the block in which it is most frequent; ``first`` marks one of its blocks.
-    w = Window.partitionBy("h")
-    said = arrow_map(t.select("block", *cols), votes, "h long, block long, i int, c long, vote int")
-    known = said.select("block", "i", F.sum("c").over(w).alias("c"), F.max_by("vote", F.struct("c", "vote")).over(w).alias("cls"), (F.min("block").over(w) == F.col("block")).alias("first")).where("c > 0")
-    packed = F.shiftleft("c", 7).bitwiseOR(F.shiftleft(F.col("cls").cast("long"), 1)).bitwiseOR(F.col("first").cast("long"))
-    dictionary = scratch.save(known.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list(packed).alias("v")))
+            yield neighbours_of(b, group[p], p == k, n_cls + 2, parts, r["block"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, block, i, c, n, e in parts_of(batches):
+            words, at = np.unique(h, return_inverse=True)
+            p = place(words)
+            cls = np.where(p < k, own[np.minimum(p, k - 1)] if k else 0, n_cls)
+            free = np.flatnonzero(p == k)
+            cls[free] = likeliest(at, n, e, logs, len(words))[free]
+            yield from answers(block, i, c, at, cls)
+
+    # Every block's words meet once by word, in parts of the words, and go back with count and class. A word takes its
+    # class from its neighbours in all blocks.
+    met = arrow_map(t.select("block", *cols), seen, MET).repartition(parts, "part").sortWithinPartitions("part")
+    told = met.mapInArrow(settled, "block long, i binary, v binary")
+    dictionary = scratch.save(told.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v")))
     scratch.collect()
-    v = dictionary.select(F.explode("v").alias("v")).where(F.col("v").bitwiseAND(1) == 1)
-    words = v.select(F.shiftright("v", 7).alias("c"), F.shiftright("v", 1).bitwiseAND(63).cast("int").alias("cls"))
-    kinds = words.groupBy("cls").agg(F.sum("c").alias("total"), F.count("*").alias("types"), F.sum((F.col("c") == 1).cast("int")).alias("once"), F.sum((F.col("c") == 2).cast("int")).alias("twice")).collect()  # a row for each class
-    big_n, big_v = sum(r["total"] for r in kinds), sum(r["types"] for r in kinds)
     cols = ("train", "off", "tokens")
     # Joined for each of the two passes that are left: writing it would take more room than moving it twice.
     full = t.select("block", "ids", *cols, (F.octet_length("words") / 8).cast("int").alias("n")).join(dictionary, "block", "left").drop("block")
 
-    def looked_up(n: pa.Scalar, i: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        count, cls = np.zeros(n.as_py(), np.int64), np.full(n.as_py(), -1, np.int64)
-        if i.is_valid:
-            at, x = i.values.to_numpy(), v.values.to_numpy()
-            count[at], cls[at] = x >> 7, x >> 1 & 63
-        return count, cls
-
     def transitions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Class bigrams, and after them each class's total, types, and words seen once and twice."""
         for j in range(batch.num_rows):
             b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
-            _, cls = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
+            count, cls, first = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
             at, before = b.pairs()
             yield _sparse(np.where(before < 0, n_cls, cls[b.tokens[before]]) * (n_cls + 1) + cls[b.tokens[at]])
-
-    moves = np.zeros((n_cls + 1) ** 2)
-    for r in arrow_map(full.drop("ids"), transitions, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():  # (classes + 1)**2 rows
-        moves[r["k"]] = r["c"]
-    model = _model(moves.reshape(n_cls + 1, n_cls + 1), kinds)
+            of = lambda x: np.bincount(cls[first], x[first], n_cls + 1)
+            kinds = np.concatenate([of(count), of(count > 0), of(count == 1), of(count == 2)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((n_cls + 1) ** 2 + np.arange(len(kinds))), pa.array(kinds)], ["k", "c"])
+
+    sums = np.zeros((n_cls + 1) * (n_cls + 5))
+    for r in arrow_map(full.drop("ids"), transitions, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():  # (classes + 1) * (classes + 5) rows
+        sums[r["k"]] = r["c"]
+    moves, kinds = sums[: (n_cls + 1) ** 2].reshape(n_cls + 1, n_cls + 1), sums[(n_cls + 1) ** 2 :].reshape(4, n_cls + 1).astype(np.int64)
+    big_n, big_v = int(kinds[0].sum()), int(kinds[1].sum())
+    model = _model(moves, [dict(zip(("cls", "total", "types", "once", "twice"), (j, *x), strict=True)) for j, x in enumerate(kinds.T.tolist())])
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for j in range(batch.num_rows):
             b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
-            count, cls = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
+            count, cls, _ = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
             c = count[b.tokens]
             base = np.log10((count + 0.5) / (big_n + 0.5 * (big_v + 1)))[b.tokens]
             s = model.score(b, count, cls) if big_n else base

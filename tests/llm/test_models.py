@@ -181,6 +181,13 @@ def test_language_model_on_odd_documents(spark, odd, none):
     assert held.count() and all(r["score"] == r["base_score"] and r["train_tokens"] == 0 for r in lm.score(spark, held).collect())
 
 
+def test_language_model_is_the_same_however_texts_are_dealt(spark):
+    """Words outside the core take their class from all blocks: one block and many give the same scores."""
+    df = catalog.table(spark, SMALL, "documents").select("doc_id", "text")
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score(spark, x, core=100, classes=8).collect()} for x in (df.coalesce(1), df.repartition(12, "doc_id")))
+    assert one.keys() == many.keys() and np.allclose([one[i] for i in one], [many[i] for i in one])
+
+
 def test_probabilities_sum_to_one():
     """Over all training words, the end and one unseen word, after every kind of context."""
     rng = np.random.default_rng(4)
