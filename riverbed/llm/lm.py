@@ -1,16 +1,17 @@
 """Language-model scoring with Brown's class-based bigrams.
 
-Frequent words are put into classes by the exchange algorithm: each word moves to the class that gains most average
-mutual information between neighbouring classes. Every other word of the training text joins the class whose neighbours it
-shares, by all its neighbours in all blocks of text. A text's probability is the product of class transitions and of
-word emissions; what absolute discounting takes from a class's words is its chance of a word unseen in training.
+The most frequent words are put into classes by the exchange algorithm: each word in turn moves to the class that gains
+most average mutual information between neighbouring classes. Every other word of the training text joins the class whose
+neighbours it shares. Then all words are exchanged, in passes over all blocks of text in which they move at once. A text's
+probability is the product of class transitions and of word emissions; what absolute discounting takes from a class's
+words is its chance of a word unseen in training.
 
 Texts become blocks of word numbers with a dictionary of their own, so only distinct words of a block are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +23,15 @@ from pyspark.sql import types as T
 from . import rolling
 from .common import Scratch, arrow_map, binary, pack, slices, text_buffer, tune
 
-#: Words that the exchange algorithm places, classes, sweeps over the words; bytes of text in a block.
+#: Words that the exchange algorithm starts from, classes, sweeps over the words; bytes of text in a block.
 CORE, CLASSES, SWEEPS, BLOCK_BYTES = 1000, 32, 6, 3_000_000
-#: Each block names so many of its most frequent words as candidates for the core.
-CANDIDATES = 4000
+#: Passes in which then all words change classes, at once in each pass.
+PASSES = 2
+#: A word's gain is worked out in full from so many occurrences on; below, to first order in its counts.
+EXACT = 100
 #: Words meet in parts, one for so many blocks, and a part is held in memory.
 PART_BLOCKS = 6
-MET = "part int, block long, h binary, i binary, c binary, n binary, e binary"
+MET = "part int, block long, h binary, i binary, c binary, w binary, n binary, e binary"
 #: The end of a text is a token, and a class of its own.
 END = 0x454E44
 PULL = 4.0
@@ -103,6 +106,18 @@ class Block:
         return at, np.where(first[at], -1, at - 1)
 
 
+def gains(big: np.ndarray, right: np.ndarray, left: np.ndarray, s: float, classes: int) -> np.ndarray:
+    """What each class gains by a word with these neighbours, ``s`` times its own one; ``big`` is without the word."""
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    nb = big[:classes]
+    gain = (f(nb + right) - f(nb)).sum(axis=1) + (f(big[:, :classes].T + left) - f(big[:, :classes].T)).sum(axis=1)
+    d = np.arange(classes)
+    dd = big[d, d]
+    gain += f(dd + right[d] + left[d] + s) - f(dd) - (f(dd + right[d]) - f(dd)) - (f(dd + left[d]) - f(dd))
+    row, col = big.sum(axis=1)[:classes], big.sum(axis=0)[:classes]
+    return gain - (f(row + right.sum() + s) - f(row) + f(col + left.sum() + s) - f(col))
+
+
 def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """Classes of words 0 .. n - 1 from bigram counts (n + 2 square: then other words, then text ends, classes of their own)."""
     n = len(counts) - 2
@@ -113,7 +128,6 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     one = np.zeros((n + 2, classes + 2))
     one[np.arange(n + 2), own] = 1
     big = one.T @ counts @ one
-    f = lambda x: x * np.log(np.maximum(x, 1))
     for _ in range(sweeps):
         moved = 0
         for w in range(n):
@@ -126,14 +140,7 @@ def exchange(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             big[a] -= right
             big[:, a] -= left
             big[a, a] -= s
-            nb = big[:classes]
-            gain = (f(nb + right) - f(nb)).sum(axis=1) + (f(big[:, :classes].T + left) - f(big[:, :classes].T)).sum(axis=1)
-            d = np.arange(classes)
-            dd = big[d, d]
-            gain += f(dd + right[d] + left[d] + s) - f(dd) - (f(dd + right[d]) - f(dd)) - (f(dd + left[d]) - f(dd))
-            row, col = big.sum(axis=1)[:classes], big.sum(axis=0)[:classes]
-            gain -= f(row + right.sum() + s) - f(row) + f(col + left.sum() + s) - f(col)
-            b = int(np.argmax(gain))
+            b = int(np.argmax(gains(big, right, left, s, classes)))
             own[w] = b
             moved += b != a
             big[b] += right
@@ -149,25 +156,40 @@ def _sparse(keys: np.ndarray, names: tuple[str, str] = ("k", "c")) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], list(names))
 
 
+def steps_of(i: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences, anew from each cut: small, so they compress well."""
+    d = np.diff(i, prepend=0).astype(np.int32)
+    d[cuts] = i[cuts]
+    return d
+
+
+def numbers(parts: list[bytes]) -> np.ndarray:
+    """All the numbers of :func:`steps_of`."""
+    return np.concatenate([np.zeros(0, np.int32), *(np.cumsum(np.frombuffer(x, np.int32), dtype=np.int32) for x in parts)])
+
+
 def neighbours_of(b: Block, cls: np.ndarray, free: np.ndarray, m: int, parts: int, block: int) -> pa.RecordBatch:
-    """A block's words dealt over ``parts``: hash, number, training count, and of those that are ``free`` how often each
-    class (``cls`` by word, the last of ``m`` is a text's end) stands on the left (0 to m - 1) and on the right (m to 2 m - 1).
+    """A block's words dealt over ``parts``: hash, number, training count, class, and of those that are ``free`` how often
+    each class (``cls`` by word, the last of ``m`` is a text's end) stands on the left (0 to m - 1) and on the right (m to
+    2 m - 1), and how often the word itself on the left (2 m).
 
     An entry is a count below 512 in the high bits and a class in the low 7; larger counts take several entries.
     """
     size, tok = len(b.words), b.tokens.astype(np.int64)
     at, before = b.pairs()
     inner = before >= 0
-    left = tok[at] * (2 * m) + np.where(inner, cls[tok[before]], m - 1)
-    right = tok[before[inner]] * (2 * m) + m + cls[tok[at[inner]]]
-    found, times = np.unique(np.concatenate([left[free[tok[at]]], right[free[tok[before[inner]]]]]), return_counts=True)
+    wide = 2 * m + 1
+    left = tok[at] * wide + np.where(inner, cls[tok[before]], m - 1)
+    right = tok[before[inner]] * wide + m + cls[tok[at[inner]]]
+    twin = tok[at[inner & (tok[at] == tok[before])]]
+    found, times = np.unique(np.concatenate([left[free[tok[at]]], right[free[tok[before[inner]]]], twin[free[twin]] * wide + 2 * m]), return_counts=True)
     again = (times + 510) // 511
     last = np.cumsum(again) - 1
     found = np.repeat(found, again)
     amount = np.full(len(found), 511)
     amount[last] = times - 511 * (again - 1)
-    word = found // (2 * m)
-    entry = (amount << 7 | found % (2 * m)).astype(np.uint16)
+    word = found // wide
+    entry = (amount << 7 | found % wide).astype(np.uint16)
     n = np.bincount(word, minlength=size).astype(np.int32)
     part = (b.words >> np.uint64(17)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
@@ -177,17 +199,18 @@ def neighbours_of(b: Block, cls: np.ndarray, free: np.ndarray, m: int, parts: in
     cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
     ends = np.concatenate([[0], np.cumsum(n[order])])[cuts]
     some = np.flatnonzero(np.diff(cuts))
-    flat = [binary(x[order], np.append(cuts[some], size)) for x in (b.words, np.arange(size, dtype=np.int32), b.counts, n)]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), *flat, binary(entry, np.append(ends[some], len(entry)))], ["part", "block", "h", "i", "c", "n", "e"])
+    flat = [binary(x[order], np.append(cuts[some], size)) for x in (b.words, b.counts, cls.astype(np.uint8), n)]
+    flat.insert(1, binary(steps_of(order, cuts[some]), np.append(cuts[some], size)))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), *flat, binary(entry, np.append(ends[some], len(entry)))], ["part", "block", "h", "i", "c", "w", "n", "e"])
 
 
 def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Word hashes, blocks, numbers, counts, numbers of entries and the entries of each part, from rows sorted by part."""
+    """Word hashes, blocks, numbers, counts, classes, numbers of entries and the entries of each part, from rows sorted by part."""
     held, part = [], None
 
     def joined() -> tuple[np.ndarray, ...]:
-        h, i, c, n, e = (np.frombuffer(b"".join(r[x] for r in held), kind) for x, kind in (("h", np.uint64), ("i", np.int32), ("c", np.int64), ("n", np.int32), ("e", np.uint16)))
-        return h, np.repeat([r["block"] for r in held], [len(r["i"]) // 4 for r in held]), i, c, n, e
+        h, c, w, n, e = (np.frombuffer(b"".join(r[x] for r in held), kind) for x, kind in (("h", np.uint64), ("c", np.int64), ("w", np.uint8), ("n", np.int32), ("e", np.uint16)))
+        return h, np.repeat([r["block"] for r in held], [len(r["i"]) // 4 for r in held]), numbers([r["i"] for r in held]), c, w, n, e
 
     for b in batches:
         for r in b.to_pylist():
@@ -200,8 +223,11 @@ def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         yield joined()
 
 
-def likeliest(at: np.ndarray, n: np.ndarray, e: np.ndarray, logs: np.ndarray, size: int) -> np.ndarray:
-    """The class of each of ``size`` words whose neighbours speak most for it: entries ``e``, ``n`` to a row, row's word ``at``."""
+def likeliest(at: np.ndarray, n: np.ndarray, e: np.ndarray, logs: np.ndarray, size: int, was: np.ndarray | None = None, big: np.ndarray | None = None) -> np.ndarray:
+    """The class of each of ``size`` words whose neighbours speak most for it: entries ``e``, ``n`` to a row, row's word ``at``.
+
+    With class bigram counts ``big``, words of EXACT occurrences leave class ``was`` for the one that gains most.
+    """
     m = len(logs)
     word = np.repeat(at, n)
     order = np.argsort(word, kind="stable")
@@ -210,8 +236,19 @@ def likeliest(at: np.ndarray, n: np.ndarray, e: np.ndarray, logs: np.ndarray, si
     for a in range(0, size, 20_000):
         z = min(size, a + 20_000)
         lo, hi = np.searchsorted(word, [a, z])
-        near = np.bincount((word[lo:hi] - a) * m + (e[lo:hi] & 127), e[lo:hi] >> 7, (z - a) * m).reshape(z - a, m)
-        out[a:z] = (near @ logs).argmax(axis=1)
+        near = np.bincount((word[lo:hi] - a) * (m + 1) + (e[lo:hi] & 127), e[lo:hi] >> 7, (z - a) * (m + 1)).reshape(z - a, m + 1)
+        out[a:z] = (near[:, :m] @ logs).argmax(axis=1)
+        if big is None:
+            continue
+        for j in np.flatnonzero(near[:, : m // 2].sum(axis=1) >= EXACT):
+            left, right, s, own = near[j, : m // 2], near[j, m // 2 : m], near[j, m], was[a + j]
+            left[own] -= s
+            right[own] -= s
+            rest = big.copy()
+            rest[own] -= right
+            rest[:, own] -= left
+            rest[own, own] -= s
+            out[a + j] = gains(rest, right, left, s, logs.shape[1]).argmax()
     return out
 
 
@@ -226,14 +263,14 @@ def answers(block: np.ndarray, i: np.ndarray, c: np.ndarray, at: np.ndarray, cls
     order = order[np.argsort(block[order], kind="stable")]
     blocks, cuts = np.unique(block[order], return_index=True)
     cuts = np.append(cuts, len(order))
-    yield pa.RecordBatch.from_arrays([pa.array(blocks), binary(i[order], cuts), binary(v[order], cuts)], ["block", "i", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(blocks), binary(steps_of(i[order], cuts[:-1]), cuts), binary(v[order], cuts)], ["block", "i", "v"])
 
 
 def looked_up(n: pa.Scalar, i: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training count, class (-1 if it has none) and the first block's mark of a block's ``n`` words."""
     count, cls, first = np.zeros(n.as_py(), np.int64), np.full(n.as_py(), -1, np.int64), np.zeros(n.as_py(), bool)
     if i.is_valid:
-        at, x = np.frombuffer(b"".join(i.as_py()), np.int32), np.frombuffer(b"".join(v.as_py()), np.int64)
+        at, x = numbers(i.as_py()), np.frombuffer(b"".join(v.as_py()), np.int64)
         count[at], cls[at], first[at] = x >> 7, x >> 1 & 63, x & 1
     return count, cls, first
 
@@ -305,22 +342,40 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     such). ``base_score`` is the add-half unigram, ``score`` the class model, both log10 over the training words and one
     unseen word. Without training text both are equal. Repeated rows count and are scored each for itself.
     """
+    if classes > 61:
+        raise ValueError("61 classes at most")  # what the packed entries hold
     tune(spark)
     scratch = Scratch(spark, "lm")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
     t = scratch.save(blocks(docs.select(F.col(id_col).alias("id"), (~held).alias("train"), F.coalesce(text_col, F.lit("")).alias("text"))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
-    def candidates(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    cols = ("train", "off", "tokens", "words", "counts")
+    parts = max(8, t.count() // PART_BLOCKS)
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "part").sortWithinPartitions("part")
+
+    def dealt(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
-            h, c = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int64)
-            c = np.where(h == END, 0, c)
-            top = np.argsort(-c, kind="stable")[:CANDIDATES]
-            top = top[c[top] > 0]
-            yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(c[top])], ["h", "c"])
+            b = Block.of(r)
+            none = np.zeros(len(b.words), bool)
+            yield neighbours_of(b, none.astype(np.int64), none, 1, parts, r["block"])
 
-    named = arrow_map(t.select("words", "counts"), candidates, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, _, _, c, *_ in parts_of(batches):
+            words, at = np.unique(h, return_inverse=True)
+            total = np.zeros(len(words), np.int64)
+            np.add.at(total, at, c)
+            total[words == END] = 0
+            best = np.lexsort((words.view(np.int64), -total))[:core]
+            best = best[total[best] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(words[best].view(np.int64)), pa.array(total[best])], ["h", "c"])
+
+    # All of a word's blocks meet in one part, so its count there is exact.
+    named = met(arrow_map(t.select("block", *cols), dealt, MET)).mapInArrow(counted, "h long, c long")
     top = np.array([r["h"] for r in named.orderBy(F.desc("c"), "h").limit(core).collect()], np.int64).view(np.uint64)  # `core` rows
+    scratch.collect()
     heart, k = np.sort(top), len(top)
 
     def place(words: np.ndarray) -> np.ndarray:
@@ -336,7 +391,6 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             at, before = b.pairs()
             yield _sparse(np.where(before < 0, k + 1, p[before]) * (k + 2) + p[at])
 
-    cols = ("train", "off", "tokens", "words", "counts")
     pairs = scratch.save(arrow_map(t.select(*cols), neighbours, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     pairs = pairs.toArrow()  # (core + 2)**2 rows at most
@@ -353,7 +407,6 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     big = one.T @ counts @ one + 0.5
     steps = np.log(big / big.sum(axis=1, keepdims=True))
 
-    parts = max(8, t.count() // PART_BLOCKS)
     logs = np.concatenate([steps[:, :n_cls], steps[:n_cls].T])  # by what stands on the left and on the right
 
     def seen(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -363,7 +416,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             yield neighbours_of(b, group[p], p == k, n_cls + 2, parts, r["block"])
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, block, i, c, n, e in parts_of(batches):
+        for h, block, i, c, _, n, e in parts_of(batches):
             words, at = np.unique(h, return_inverse=True)
             p = place(words)
             cls = np.where(p < k, own[np.minimum(p, k - 1)] if k else 0, n_cls)
@@ -371,15 +424,57 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             cls[free] = likeliest(at, n, e, logs, len(words))[free]
             yield from answers(block, i, c, at, cls)
 
+    def told(rows: DataFrame, settle: Callable) -> DataFrame:
+        said = met(rows).mapInArrow(settle, "block long, i binary, v binary")
+        return scratch.save(said.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v")))
+
     # Every block's words meet once by word, in parts of the words, and go back with count and class. A word takes its
     # class from its neighbours in all blocks.
-    met = arrow_map(t.select("block", *cols), seen, MET).repartition(parts, "part").sortWithinPartitions("part")
-    told = met.mapInArrow(settled, "block long, i binary, v binary")
-    dictionary = scratch.save(told.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v")))
+    dictionary = told(arrow_map(t.select("block", *cols), seen, MET), settled)
     scratch.collect()
+
+    def joined(*names: str) -> DataFrame:
+        return t.select("block", *names, (F.octet_length("words") / 8).cast("int").alias("n")).join(dictionary, "block", "left")
+
+    def again(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Neighbours by the classes of all words, and the block's class bigrams as part -1."""
+        for j in range(batch.num_rows):
+            b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
+            _, cls, _ = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
+            block = batch.column("block")[j].as_py()
+            yield neighbours_of(b, np.maximum(cls, 0), b.words != END, n_cls + 1, parts, block)
+            at, before = b.pairs()
+            x = np.where(before < 0, n_cls, cls[b.tokens[before]]) * (n_cls + 1) + cls[b.tokens[at]]
+            empty = pack([np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block]), empty, empty, pack([np.bincount(x, minlength=(n_cls + 1) ** 2)]), *[empty] * 3], ["part", "block", "h", "i", "c", "w", "n", "e"])
+
+    def bigrams(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for x in batch.column(0).to_pylist():
+            c = np.frombuffer(x, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c))), pa.array(c)], ["k", "c"])
+
+    for _ in range(PASSES if k else 0):
+        # Written, so that blocks and parts are not shuffled at one time.
+        moved = scratch.save(arrow_map(joined(*cols), again, MET))
+        scratch.drop(dictionary)
+        big = np.zeros((n_cls + 1) ** 2)
+        for r in arrow_map(moved.where("part = -1").select("c"), bigrams, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect():  # (classes + 1)**2 rows
+            big[r["k"]] = r["c"]
+        big = big.reshape(n_cls + 1, n_cls + 1)
+        near = np.log(big + 0.5)
+        near = np.concatenate([(near - np.log(big.sum(axis=0) + 0.5))[:, :n_cls], (near.T - np.log(big.sum(axis=1) + 0.5))[:, :n_cls]])
+
+        def exchanged(batches: Iterator[pa.RecordBatch], near=near, big=big) -> Iterator[pa.RecordBatch]:
+            for h, block, i, c, w, n, e in parts_of(batches):
+                words, first, at = np.unique(h, return_index=True, return_inverse=True)
+                cls = np.where(words == END, n_cls, likeliest(at, n, e, near, len(words), w[first], big))
+                yield from answers(block, i, c, at, cls)
+
+        dictionary = told(moved.where("part >= 0"), exchanged)
+        scratch.drop(moved)
     cols = ("train", "off", "tokens")
     # Joined for each of the two passes that are left: writing it would take more room than moving it twice.
-    full = t.select("block", "ids", *cols, (F.octet_length("words") / 8).cast("int").alias("n")).join(dictionary, "block", "left").drop("block")
+    full = joined("ids", *cols).drop("block")
 
     def transitions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Class bigrams, and after them each class's total, types, and words seen once and twice."""

@@ -188,6 +188,38 @@ def test_language_model_is_the_same_however_texts_are_dealt(spark):
     assert one.keys() == many.keys() and np.allclose([one[i] for i in one], [many[i] for i in one])
 
 
+def test_core_is_the_most_frequent_words_of_all_blocks(spark):
+    """Two words that are rarer in every block than thousands of its own words, and the most frequent in all."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(6):
+        words = [f"own{i}x{j}" for j in range(4100) for _ in range(3)]
+        rng.shuffle(words)
+        texts += [" ".join([*words[:6000], "alpha", "beta", *words[6000:], "alpha", "beta"])]
+    rows = [(i, t) for i, t in zip([i for i in range(30) if zlib.crc32(str(i).encode()) % 5 != 1], texts, strict=False)]
+    df = lambda n: spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+    one, many = (sorted((r["doc_id"], r["score"]) for r in lm.score(spark, df(n), core=2, classes=2).collect()) for n in (1, 6))
+    assert np.allclose(one, many, rtol=1e-9)
+
+
+def test_words_outside_the_core_are_exchanged(spark):
+    """Two kinds of words that alternate; rare words stand beside none of the core."""
+    rng = random.Random(6)
+    kinds = {x: [[f"{x}{kind}n{j}" for j in range(n)] for kind in "ab"] for x, n in (("core", 4), ("mid", 20), ("rare", 40))}
+
+    def text(names):
+        own = [[w for x in names for w in kinds[x][kind]] for kind in (0, 1)]
+        at = rng.randrange(2)
+        return " ".join(rng.choice(own[(at + j) % 2]) for j in range(20))
+
+    rows = [(i, text(("core", "mid") if i % 2 else ("mid", "rare"))) for i in range(3000)]
+    # The core's words are the most frequent.
+    rows += [(3000 + i, " ".join(rng.choice(kinds["core"][(i + j) % 2]) for j in range(20))) for i in range(600)]
+    out = lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), core=8, classes=4).where("held_out AND doc_id < 3000 AND doc_id % 2 = 0")
+    mean = out.select(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert mean > -2.0  # -2.28 without the exchange of all words
+
+
 def test_probabilities_sum_to_one():
     """Over all training words, the end and one unseen word, after every kind of context."""
     rng = np.random.default_rng(4)
