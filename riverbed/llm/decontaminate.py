@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tune
 from .native import ascii_lower, let, word_list
 
 #: Words of a k-gram; a window of 13 words has 13 - GRAM + 1 = 8 of them.
@@ -69,8 +69,8 @@ def _bench(benchmark: DataFrame, item_col: str, text_col: str, window: int, gram
     return long_.select("fp", "item", "q", "iw", F.lit(window).alias("len")).unionByName(short.select("fp", "item", "q", "iw", F.size("iw").alias("len"))).distinct()
 
 
-def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items (sorted strings), spans (array of start, len), and ``keep``.
+def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, gram: int = GRAM) -> DataFrame:
+    """Per document: id, n_words, n_hit, n_items, items (sorted strings) and spans (array of start, len).
 
     A benchmark item of ``window`` words or more has all its runs of that many words as windows, a shorter one is a
     window as a whole, one without words has none. A document word inside any occurrence of a window is hit. Null texts
@@ -85,11 +85,11 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
     scratch = Scratch(spark, "decontaminate")
     bench = scratch.save(_bench(benchmark, item_col, item_text, window, gram))
     lengths = sorted(r[0] for r in bench.where(F.col("len") < window).select("len").distinct().collect())  # under `window` values
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("kept"), F.col(text_col).alias("text"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     few = bench.count() <= BROADCAST_ROWS
     if not few:
         base = scratch.save(base)
-    base = base.select("rid", "id", "kept", word_list(F.col("text")).alias("w"))
+    base = base.select("rid", "id", word_list(F.col("text")).alias("w"))
     base = base.withColumn("n_words", F.size("w")).withColumn("wh", _word_hashes(F.col("w"))).withColumn("h", _gram_hashes(F.col("wh"), gram, window))
     prints = _winnow(F.col("h"), width)
     if lengths:
@@ -111,17 +111,35 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
     whole = F.array_join("iw", " ")
     short = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.col("n_words") - F.col("len"), F.lit(0))), lambda i: text(F.col("w"), i, F.col("len")) == whole), lambda i: F.struct(i.alias("start"), F.col("len").alias("len")))
     none = F.array().cast("array<struct<start:int,len:int>>")
-    rows = rows.select("rid", "id", "kept", "n_words", "item", F.when(F.col("item").isNull(), none).when(F.col("len") < window, short).otherwise(long_).alias("at"))
+    rows = rows.select("rid", "id", "n_words", "item", F.when(F.col("item").isNull(), none).when(F.col("len") < window, short).otherwise(long_).alias("at"))
     per = rows.groupBy("rid").agg(
-        F.first("id").alias("id"), F.first("kept").alias("kept"), F.first("n_words").alias("n_words"),
+        F.first("id").alias("id"), F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"),
         F.array_sort(F.collect_set(F.when(F.size("at") > 0, F.col("item")))).alias("items"),
     )
     # Sorted spans join into runs: (end so far, words so far).
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     joined = F.aggregate("at", zero, lambda a, s: F.struct(F.greatest(a["end"], s["start"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["start"] + s["len"] - F.greatest(a["end"], s["start"]))).alias("n")))
-    return per.select("id", F.col("n_words").cast("long").alias("n_words"), joined["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("at").alias("spans"), *[F.col("kept")[c].alias(c) for c in keep])
+    return per.select("id", F.col("n_words").cast("long").alias("n_words"), joined["n"].cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("at").alias("spans"))
 
 
 def contaminated(n_hit: Column, n_words: Column, one_in: int = 20) -> Column:
     return (n_hit > 0) & (one_in * n_hit >= n_words)
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 13, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark passage.
+
+    One whole window of ``window`` words is enough to drop a document, however long it is. A shorter item is a window by
+    itself and may be a common phrase, so such hits drop a document only if they make up a twentieth of its words. Null
+    and empty texts stay, as does everything if the benchmark is empty; repeated rows and ids are judged each for itself.
+    """
+    tune(spark)
+    scratch = Scratch(spark, "clean")
+    base = scratch.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.struct("*").alias("row")))
+    found = hits(spark, base, benchmark, "rid", "text", item_col, item_text, window, gram)
+    whole = F.exists("spans", lambda s: s["len"] >= window)
+    bad = scratch.save(found.where(whole | contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("rid")))
+    # Eight bytes a row, so a broadcast of them has a proven size.
+    few = bad.count() <= BROADCAST_ROWS
+    return base.join(F.broadcast(bad) if few else bad, "rid", "left_anti").select("row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from riverbed.llm import catalog, toxicity
+from riverbed.llm import catalog, decontaminate, toxicity
 from support import ORACLE, SMALL
 from test_models import check_packing
 
@@ -67,11 +67,25 @@ def test_one_document_of_each_group_stays(stages):
 
 
 def test_contaminated_documents_go(spark, stages):
+    """No document that is left holds a benchmark window, however long it is."""
     _, before, after = stages[3]
     old = rows(before)
     items = [(r["item_id"], r["text"]) for r in catalog.table(spark, SMALL, "benchmark").collect()]
+    assert min(len(brute.LETTERS.findall(t)) for _, t in items) >= 13
     found = brute.contamination([r[1] for r in old], items)
-    assert rows(after) == [r for r, (n, h, _) in zip(old, found, strict=True) if not (h > 0 and 20 * h >= n)]
+    assert rows(after) == [r for r, (_, h, _) in zip(old, found, strict=True) if not h]
+
+
+def test_short_items_need_a_share(spark):
+    """An item of few words is no evidence in a long text; a whole window is, at any length."""
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (2, "hello there")], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(500))
+    docs = [(1, filler + " hello there"), (2, "so hello there"), (3, filler + " " + item[: item.index(" q13")] + " " + filler), (4, filler + " " + item[: item.index(" q12")] + " " + filler), (5, None), (5, None), (None, item.upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rid", F.lit("x")).withColumn("row", F.lit(1))
+    out = decontaminate.clean(spark, df, bench)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5, 5]
+    assert decontaminate.clean(spark, df, bench.where("false")).count() == len(docs)
 
 
 def test_what_is_left_is_packed(stages):
