@@ -22,12 +22,15 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model calls toxic go; reads the table ``labels``. Without usable labels every document stays."""
     scored = toxicity.score(spark, _with_row(docs), table(spark, sf_dir, "labels"), keep=("row__",))
     return scored.where("predicted = 0").select("row__.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on too many documents of a source go; a document keeps its row, and its text if nothing goes."""
+    """Lines that stand on too many documents of a source go; a document keeps its row, and its text if nothing goes.
+
+    ``docs`` needs the columns source and n_chars, which is counted anew where lines went; a null source is a source."""
     out = lines.dedup(spark, docs, F.col("source"), lines.text_lines(F.col("text")))
     text = F.when(F.size("kept") == F.size("lines"), F.col("page.text")).otherwise(F.array_join("kept", "\n"))
     n = F.when(F.size("kept") == F.size("lines"), F.col("page.n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
@@ -36,15 +39,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 80 % or more connect, the one with the smallest doc_id stays; texts without words all stay."""
     return neardup.keep_first(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.hits(spark, _with_row(docs), table(spark, sf_dir, "benchmark"), keep=("row__",))
-    return found.where(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select("row__.*")
+    """Documents that hold a benchmark passage go (see ``decontaminate.clean``); reads the table ``benchmark``."""
+    return decontaminate.clean(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of 4096 tokens; a null text is the end id alone."""
     return packing.packed(spark, docs, tokenizer("word_bpe_49k.json"))
 
 
