@@ -1,7 +1,7 @@
 """A context-mixing range coder for token ids, and the binary files written with it.
 
-Blocks of ids are coded independently: orders 0 to 2 predict each id, their mixed chances drive a range coder, and every
-block starts anew and has a checksum (see ``TokenCoder.java``). A record holds the blocks of whole documents; a file is a
+Blocks of ids are coded independently: orders 0 to 2 predict each id, their mixed chances drive a range coder that writes
+all there is of it, and every block starts anew and has a checksum (see ``TokenCoder.java``). A record holds the blocks of whole documents; a file is a
 Parquet table of records in ascending order of the documents' ids, with each document's place.
 
 The coder is sequential by nature, and NumPy needs over a microsecond for a token. So it is a Java class of two functions

@@ -51,7 +51,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The strings of the vocabulary's own tokens, such as an end mark: they cut a text wherever they stand in it.
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.drops_space = drops_space
         # A separator that is one token by itself and never merges with what stands beside it.
         self.sep, self.mark = (" \x01 ", b"\x01") if drops_space else ("\n", b"\n")
@@ -87,7 +88,33 @@ class UnitEncoder:
         return _gather(flat, start[rank], size[rank]), size[rank]
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts back to back, and offsets by text."""
+        """The ids of all texts back to back, and offsets by text. Texts with special strings are encoded as they are."""
+        whole = self._with_special(raw, offsets)
+        if not whole:
+            return self._encode(raw, offsets)
+        size = np.diff(offsets)
+        size[whole] = 0
+        rest = np.concatenate([raw[a:b] for a, b in zip([0, *offsets[1:][whole]], [*offsets[:-1][whole], len(raw)], strict=True)])
+        ids, o = self._encode(rest, np.concatenate([[0], np.cumsum(size)]))
+        parts, n, at = [], np.diff(o), 0
+        for i, e in zip(whole, self.tok.encode_batch_fast([raw[offsets[i] : offsets[i + 1]].tobytes().decode() for i in whole], add_special_tokens=False), strict=True):
+            parts += [ids[at : o[i]], np.array(e.ids, np.uint32)]
+            n[i], at = len(e.ids), o[i]
+        return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(n)])
+
+    def _with_special(self, raw: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The texts in which a special string stands."""
+        data, found = raw.tobytes(), set()
+        for s in self.special:
+            at = data.find(s)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, side="right")) - 1
+                inside = at + len(s) <= offsets[i + 1]
+                found |= {i} if inside else set()
+                at = data.find(s, int(offsets[i + 1]) if inside else at + 1)
+        return sorted(found)
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.drops_space:
             starts, ends, by = rolling.words(raw, offsets)
         else:

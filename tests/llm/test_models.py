@@ -8,12 +8,13 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
 from riverbed.llm import catalog, codec, lm, packing, toxicity, units
-from support import SMALL
+from support import ORACLE, SMALL
 
 WORDS_FILE, BYTES_FILE = catalog.tokenizer("word_bpe_49k.json"), catalog.tokenizer("byte_bpe_50k.json")
 
@@ -25,7 +26,6 @@ def docs(spark):
 
 def ids_of(path, texts, end):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [e.ids + [end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -88,7 +88,7 @@ def test_blocks_meet_again(spark, monkeypatch):
 @pytest.mark.parametrize("path,drops_space", [(WORDS_FILE, True), (BYTES_FILE, False)])
 def test_units_give_the_tokenizer_ids(odd, path, drops_space):
     rng = random.Random(3)
-    alphabet = [" ", "  ", "\n", "\n\n", "\t", "a", "B", "é", "don't", "123", "　", "\u0085", "​", "日本", "\x01", "'s", "!?", "<|endoftext|>", "_", "-", "\r\n", " ", "é", "ﬁ", "İ"]
+    alphabet = [" ", "  ", "\n", "\n\n", "\t", "a", "B", "é", "don't", "123", "　", "\u0085", "​", "日本", "\x01", "'s", "!?", "<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "_", "-", "\r\n", " ", "é", "ﬁ", "İ"]
     texts = [t for _, t in odd[0] if t and len(t) < 10_000] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(1500)]
     data = [t.encode() for t in texts]
     raw, off = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])
@@ -113,6 +113,27 @@ def test_codec_round_trip(spark):
         coded(spark, [[2**24]]).collect()
 
 
+def test_codec_is_smaller_than_general_ones(spark, docs):
+    """Under the entropy of the ids' own frequencies, which a coder without contexts can't beat, and under zlib and zstd."""
+    rows = catalog.table(spark, ORACLE, "documents").orderBy("doc_id").select("text").collect()
+    ids = np.concatenate([np.array(x, np.uint32) for x in ids_of(BYTES_FILE, [r["text"] for r in rows], 0)])
+    p = np.bincount(ids) / len(ids)
+    p = p[p > 0]
+    bits = 8 * len(coded(spark, [ids]).first()["record"]) / len(ids)
+    general = [8 * len(f(x.tobytes())) / len(ids) for x in (ids.astype("<u2"), ids) for f in (zlib.compress, zstandard.compress)]
+    assert bits < 0.95 * -(p * np.log2(p)).sum() and bits < 0.95 * min(general)
+
+
+def test_blocks_are_coded_alone(spark):
+    """A block's bytes don't depend on the blocks before it."""
+    rng = np.random.default_rng(3)
+    a, b, c = (rng.zipf(1.3, 1 << 16) % 50_000 for _ in range(3))
+    a[0] = c[0] = 49_999  # the largest id is in the record's head
+    one, two = (bytes(coded(spark, [np.concatenate([x, b])]).first()["record"]) for x in (a, c))
+    size = lambda r: int.from_bytes(r[20:24], "little")
+    assert one[:16] == two[:16] and one[24 + size(one) :] == two[24 + size(two) :] and one[24:] != two[24:]
+
+
 def test_damage_is_seen(spark):
     ids = np.random.default_rng(1).zipf(1.3, 30_000) % 50_000
     record = bytes(coded(spark, [ids]).first()["record"])
