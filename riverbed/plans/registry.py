@@ -14,9 +14,9 @@ from .query import MAX_TERMS, Conjunction, Literal, Prefix, Query, Range, parse
 
 META = "meta"
 
-_TERM = "struct<kind:string,path:string,tag:string,num:double,str:string,bool:boolean,low:boolean,high:boolean,num_hi:double,str_hi:string,bool_hi:boolean>"
+TERM = "struct<kind:string,path:string,tag:string,num:double,str:string,bool:boolean,low:boolean,high:boolean,num_hi:double,str_hi:string,bool_hi:boolean>"
 #: ``anchor`` is how a conjunction is looked up: eq, prefix, range or all; ``key`` is what eq and prefix look up.
-STANDING = f"channel string, client_id string, query_id string, conj_id long, several boolean, anchor string, path string, key string, terms array<{_TERM}>"
+STANDING = f"channel string, client_id string, query_id string, conj_id long, several boolean, anchor string, path string, key string, terms array<{TERM}>"
 
 
 def _sides(lit: Literal | None) -> tuple:
