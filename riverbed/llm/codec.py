@@ -98,7 +98,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, drops
             yield flush()
 
     rows = ordered.mapInArrow(run, "part int, before long, docs array<struct<id:long,at:long,n:long>>, flat binary")
-    rows.select("part", "before", "docs", encode(spark, F.col("flat")).alias("record")).write.parquet(path)
+    rows.select("part", "before", "docs", encode(spark, F.col("flat")).alias("record")).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The setting for rows of an Arrow batch.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows in one Arrow batch: texts are long, so a batch of these stays at a few MB.
 BATCH_ROWS = 512
 
@@ -43,11 +46,24 @@ def ship(spark: SparkSession) -> None:
 
 def tune(spark: SparkSession) -> None:
     """Ships the package; small Arrow batches, because one row can be a very long text; shuffle files go once a job is done,
-    as nothing but written tables is read again."""
+    as nothing but written tables is read again. Results don't depend on these settings, which stay as they bound memory
+    and disk of what is evaluated later."""
     ship(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+    spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session settings for as long as the block runs; what is lazy must be written within it."""
+    old = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,7 +99,7 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = [*getattr(self, "_keep", []), out]

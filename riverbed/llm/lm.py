@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import Scratch, arrow_map, binary, pack, slices, text_buffer, tune
+from .common import BATCH, Scratch, arrow_map, binary, pack, settings, slices, text_buffer, tune
 
 #: Words that the exchange algorithm starts from, classes, sweeps over the words; bytes of text in a block.
 CORE, CLASSES, SWEEPS, BLOCK_BYTES = 1000, 32, 6, 3_000_000
@@ -156,24 +156,51 @@ def _sparse(keys: np.ndarray, names: tuple[str, str] = ("k", "c")) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c.astype(np.int64))], list(names))
 
 
+def short(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers from 0 as one binary value for each of the ranges between ``cuts``, seven bits to a byte."""
+    n = 1 + sum((x >= 1 << 7 * k).astype(np.int64) for k in range(1, 9))
+    off = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty(off[-1], np.uint8)
+    for k in range(int(n.max(initial=0))):
+        m = n > k
+        out[off[:-1][m] + k] = x[m] >> 7 * k & 127 | (n[m] > k + 1) << 7
+    return binary(out, off[cuts])
+
+
 def steps_of(i: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Rising numbers as differences, anew from each cut: small, so they compress well."""
-    d = np.diff(i, prepend=0).astype(np.int32)
-    d[cuts] = i[cuts]
+    """Rising numbers as differences, anew from each cut: small, so they are short."""
+    d = np.diff(i, prepend=0)
+    first = cuts[cuts < len(i)]
+    d[first] = i[first]
     return d
 
 
+def values_of(parts: list[bytes]) -> list[np.ndarray]:
+    """The numbers of each of some values of :func:`short`."""
+    b = np.frombuffer(b"".join(parts), np.uint8)
+    end = np.flatnonzero(b < 128)
+    start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+    place = np.arange(len(b)) - np.repeat(start, end + 1 - start)
+    v = np.add.reduceat((b & 127).astype(np.int64) << 7 * place, start) if len(end) else np.zeros(0, np.int64)
+    return np.split(v, np.searchsorted(end, np.cumsum([len(x) for x in parts])[:-1])) if parts else []
+
+
+def flat(parts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *values_of(parts)])
+
+
 def numbers(parts: list[bytes]) -> np.ndarray:
     """All the numbers of :func:`steps_of`."""
-    return np.concatenate([np.zeros(0, np.int32), *(np.cumsum(np.frombuffer(x, np.int32), dtype=np.int32) for x in parts)])
+    return np.concatenate([np.zeros(0, np.int64), *map(np.cumsum, values_of(parts))])
 
 
-def neighbours_of(b: Block, cls: np.ndarray, free: np.ndarray, m: int, parts: int, block: int) -> pa.RecordBatch:
+def neighbours_of(b: Block, cls: np.ndarray, free: np.ndarray, m: int, parts: int, block: int, rank: np.ndarray | None = None) -> pa.RecordBatch:
     """A block's words dealt over ``parts``: hash, number, training count, class, and of those that are ``free`` how often
     each class (``cls`` by word, the last of ``m`` is a text's end) stands on the left (0 to m - 1) and on the right (m to
     2 m - 1), and how often the word itself on the left (2 m).
 
-    An entry is a count below 512 in the high bits and a class in the low 7; larger counts take several entries.
+    An entry is a count below 512 in the high bits and a class in the low 7; larger counts take several entries. With
+    ``rank``, each word's number within its part, words go by it and not by hash, and those without one (-1) not at all.
     """
     size, tok = len(b.words), b.tokens.astype(np.int64)
     at, before = b.pairs()
@@ -193,24 +220,31 @@ def neighbours_of(b: Block, cls: np.ndarray, free: np.ndarray, m: int, parts: in
     n = np.bincount(word, minlength=size).astype(np.int32)
     part = (b.words >> np.uint64(17)) % np.uint64(parts)
     order = np.argsort(part, kind="stable")
-    rank = np.empty(size, np.int64)
-    rank[order] = np.arange(size)
-    entry = entry[np.argsort(rank[word], kind="stable")]
+    if rank is not None:
+        order = order[rank[order] >= 0]
+    place = np.empty(size, np.int64)
+    place[order] = np.arange(len(order))
+    entry = entry[np.argsort(place[word], kind="stable")]
     cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
     ends = np.concatenate([[0], np.cumsum(n[order])])[cuts]
     some = np.flatnonzero(np.diff(cuts))
-    flat = [binary(x[order], np.append(cuts[some], size)) for x in (b.words, b.counts, cls.astype(np.uint8), n)]
-    flat.insert(1, binary(steps_of(order, cuts[some]), np.append(cuts[some], size)))
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), *flat, binary(entry, np.append(ends[some], len(entry)))], ["part", "block", "h", "i", "c", "w", "n", "e"])
+    at = np.append(cuts[some], len(order))
+    # A block has its words in the order of their hashes, and so has a part its ranks: both rise.
+    named = binary(b.words[order], at) if rank is None else short(steps_of(rank[order], cuts[some]), at)
+    cols = [named, short(steps_of(order, cuts[some]), at), short(b.counts[order], at), binary(cls[order].astype(np.uint8), at), short(n[order], at)]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block)), *cols, binary(entry, np.append(ends[some], len(entry)))], ["part", "block", "h", "i", "c", "w", "n", "e"])
 
 
-def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Word hashes, blocks, numbers, counts, classes, numbers of entries and the entries of each part, from rows sorted by part."""
+def parts_of(batches: Iterator[pa.RecordBatch], ranked: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """Word hashes (or ranks), blocks, numbers, counts, classes, numbers of entries and the entries of each part, from rows
+    sorted by part."""
     held, part = [], None
 
     def joined() -> tuple[np.ndarray, ...]:
-        h, c, w, n, e = (np.frombuffer(b"".join(r[x] for r in held), kind) for x, kind in (("h", np.uint64), ("c", np.int64), ("w", np.uint8), ("n", np.int32), ("e", np.uint16)))
-        return h, np.repeat([r["block"] for r in held], [len(r["i"]) // 4 for r in held]), numbers([r["i"] for r in held]), c, w, n, e
+        w, e = (np.frombuffer(b"".join(r[x] for r in held), kind) for x, kind in (("w", np.uint8), ("e", np.uint16)))
+        i, c, n = numbers([r["i"] for r in held]), flat([r["c"] for r in held]), flat([r["n"] for r in held])
+        h = numbers([r["h"] for r in held]) if ranked else np.frombuffer(b"".join(r["h"] for r in held), np.uint64)
+        return h, np.repeat([r["block"] for r in held], [len(r["w"]) for r in held]), i, c, w, n, e
 
     for b in batches:
         for r in b.to_pylist():
@@ -253,7 +287,8 @@ def likeliest(at: np.ndarray, n: np.ndarray, e: np.ndarray, logs: np.ndarray, si
 
 
 def answers(block: np.ndarray, i: np.ndarray, c: np.ndarray, at: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each block its words that occur in training: their numbers, and count, class and whether it is the word's first block."""
+    """For each block its words that occur in training: their numbers, then count, class and whether it is the word's first
+    block, and their ranks in the part."""
     total = np.zeros(len(cls), np.int64)
     np.add.at(total, at, c)
     first = np.zeros(len(at), bool)
@@ -263,16 +298,19 @@ def answers(block: np.ndarray, i: np.ndarray, c: np.ndarray, at: np.ndarray, cls
     order = order[np.argsort(block[order], kind="stable")]
     blocks, cuts = np.unique(block[order], return_index=True)
     cuts = np.append(cuts, len(order))
-    yield pa.RecordBatch.from_arrays([pa.array(blocks), binary(steps_of(i[order], cuts[:-1]), cuts), binary(v[order], cuts)], ["block", "i", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(blocks), short(steps_of(i[order], cuts[:-1]), cuts), short(v[order], cuts), short(steps_of(at[order], cuts[:-1]), cuts)], ["block", "i", "v", "r"])
 
 
-def looked_up(n: pa.Scalar, i: pa.Scalar, v: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Training count, class (-1 if it has none) and the first block's mark of a block's ``n`` words."""
-    count, cls, first = np.zeros(n.as_py(), np.int64), np.full(n.as_py(), -1, np.int64), np.zeros(n.as_py(), bool)
+def looked_up(n: pa.Scalar, i: pa.Scalar, v: pa.Scalar, r: pa.Scalar | None = None) -> tuple[np.ndarray, ...]:
+    """Training count, class (-1 if it has none), the first block's mark and, with ``r``, rank (-1) of a block's ``n`` words."""
+    size = n.as_py()
+    count, cls, first, rank = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.zeros(size, bool), np.full(size, -1, np.int64)
     if i.is_valid:
-        at, x = numbers(i.as_py()), np.frombuffer(b"".join(v.as_py()), np.int64)
+        at, x = numbers(i.as_py()), flat(v.as_py())
         count[at], cls[at], first[at] = x >> 7, x >> 1 & 63, x & 1
-    return count, cls, first
+        if r is not None:
+            rank[at] = numbers(r.as_py())
+    return count, cls, first, rank
 
 
 @dataclass
@@ -345,11 +383,15 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     if classes > 61:
         raise ValueError("61 classes at most")  # what the packed entries hold
     tune(spark)
-    scratch = Scratch(spark, "lm")
+    # A row is a block of text, and a batch is one row, until the scores are written.
+    with settings(spark, {BATCH: 1}):
+        scratch = Scratch(spark, "lm")
+        return scratch.save(_scores(spark, scratch, docs, id_col, text_col, core, classes))
+
+
+def _scores(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, core: int, classes: int) -> DataFrame:
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
     t = scratch.save(blocks(docs.select(F.col(id_col).alias("id"), (~held).alias("train"), F.coalesce(text_col, F.lit("")).alias("text"))))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-
     cols = ("train", "off", "tokens", "words", "counts")
     parts = max(8, t.count() // PART_BLOCKS)
 
@@ -392,9 +434,8 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             yield _sparse(np.where(before < 0, k + 1, p[before]) * (k + 2) + p[at])
 
     pairs = scratch.save(arrow_map(t.select(*cols), neighbours, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    pairs = pairs.toArrow()  # (core + 2)**2 rows at most
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    with settings(spark, {BATCH: 100_000}):
+        pairs = pairs.toArrow()  # (core + 2)**2 rows at most
     counts = np.zeros((k + 2) ** 2)
     counts[pairs["k"].to_numpy()] = pairs["c"].to_numpy()
     counts = counts.reshape(k + 2, k + 2)
@@ -425,8 +466,9 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             yield from answers(block, i, c, at, cls)
 
     def told(rows: DataFrame, settle: Callable) -> DataFrame:
-        said = met(rows).mapInArrow(settle, "block long, i binary, v binary")
-        return scratch.save(said.groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("v").alias("v")))
+        said = met(rows).mapInArrow(settle, "block long, i binary, v binary, r binary")
+        answered = said.groupBy("block").agg(F.collect_list(F.struct("i", "v", "r")).alias("a"))
+        return scratch.save(answered.select("block", "a.i", "a.v", "a.r"))
 
     # Every block's words meet once by word, in parts of the words, and go back with count and class. A word takes its
     # class from its neighbours in all blocks.
@@ -440,9 +482,9 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         """Neighbours by the classes of all words, and the block's class bigrams as part -1."""
         for j in range(batch.num_rows):
             b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
-            _, cls, _ = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
+            _, cls, _, rank = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v", "r")))
             block = batch.column("block")[j].as_py()
-            yield neighbours_of(b, np.maximum(cls, 0), b.words != END, n_cls + 1, parts, block)
+            yield neighbours_of(b, np.maximum(cls, 0), (b.words != END) & (rank >= 0), n_cls + 1, parts, block, rank)
             at, before = b.pairs()
             x = np.where(before < 0, n_cls, cls[b.tokens[before]]) * (n_cls + 1) + cls[b.tokens[at]]
             empty = pack([np.zeros(0)])
@@ -465,9 +507,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         near = np.concatenate([(near - np.log(big.sum(axis=0) + 0.5))[:, :n_cls], (near.T - np.log(big.sum(axis=1) + 0.5))[:, :n_cls]])
 
         def exchanged(batches: Iterator[pa.RecordBatch], near=near, big=big) -> Iterator[pa.RecordBatch]:
-            for h, block, i, c, w, n, e in parts_of(batches):
-                words, first, at = np.unique(h, return_index=True, return_inverse=True)
-                cls = np.where(words == END, n_cls, likeliest(at, n, e, near, len(words), w[first], big))
+            for at, block, i, c, w, n, e in parts_of(batches, ranked=True):
+                was = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+                was[at] = w
+                cls = np.where(was == n_cls, n_cls, likeliest(at, n, e, near, len(was), was, big))
                 yield from answers(block, i, c, at, cls)
 
         dictionary = told(moved.where("part >= 0"), exchanged)
@@ -480,7 +523,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         """Class bigrams, and after them each class's total, types, and words seen once and twice."""
         for j in range(batch.num_rows):
             b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
-            count, cls, first = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
+            count, cls, first, _ = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
             at, before = b.pairs()
             yield _sparse(np.where(before < 0, n_cls, cls[b.tokens[before]]) * (n_cls + 1) + cls[b.tokens[at]])
             of = lambda x: np.bincount(cls[first], x[first], n_cls + 1)
@@ -498,7 +541,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for j in range(batch.num_rows):
             b = Block.of({c: batch.column(c)[j].as_py() for c in cols})
-            count, cls, _ = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
+            count, cls, _, _ = looked_up(*(batch.column(c)[j] for c in ("n", "i", "v")))
             c = count[b.tokens]
             base = np.log10((count + 0.5) / (big_n + 0.5 * (big_v + 1)))[b.tokens]
             s = model.score(b, count, cls) if big_n else base
