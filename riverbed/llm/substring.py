@@ -1,8 +1,12 @@
 """Substring dedup on a compacted de Bruijn graph of word k-mers.
 
-Nodes are repeated stretches of words (see ``repeats``), edges join stretches that follow each other in a text. A path
-without branches, along which all occurrences go together, is compacted into one long span by joins; its source
-coordinates then tell which occurrence is the first.
+The k-mers of a window's length that follow each other and share their smallest q-gram travel together as one edge of the
+graph (see ``repeats``), so the graph has about 2 / (window - gram + 2) of the corpus's k-mers. Edges join where one goes
+on into the next in a text. A path without branches, along which all occurrences go together, is compacted into one long
+span by joins; its source coordinates then tell which occurrence is the first. Where edges of one q-gram differ, their
+k-mers are compared one by one.
+
+Equality of two edges, paths or k-mers is that of 128 bits: of their smallest q-gram's hash and of their own.
 """
 
 from __future__ import annotations
@@ -27,23 +31,24 @@ def compact(scratch: Scratch, occ: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     at = scratch.save(occ.select("q", "node", "rid", "s", "n").join(nodes.select("q", "node", "weight"), ["q", "node"]))
     w = Window.partitionBy("rid").orderBy("s")
-    nxt = at.select("node", "weight", "n", "s", *[F.lead(c).over(w).alias(f"y_{c}") for c in ("node", "weight", "s")])
+    nxt = at.select("q", "node", "weight", "n", "s", *[F.lead(c).over(w).alias(f"y_{c}") for c in ("q", "node", "weight", "s")])
     nxt = nxt.where("y_s = s + n")
-    pairs = nxt.groupBy(F.col("node").alias("x"), F.col("y_node").alias("y")).agg(F.count("*").alias("c"), F.first("weight").alias("wx"), F.first("y_weight").alias("wy"), F.first("n").alias("d"))
-    up = scratch.save(pairs.where("c = wx and c = wy").select(F.col("y").alias("node"), F.col("x").alias("up"), F.col("d").cast("long").alias("d")))
+    pairs = nxt.groupBy(F.col("q").alias("up_q"), F.col("node").alias("up"), F.col("y_q").alias("q"), F.col("y_node").alias("node")).agg(F.count("*").alias("c"), F.first("weight").alias("wx"), F.first("y_weight").alias("wy"), F.first("n").alias("d"))
+    up = scratch.save(pairs.where("c = wx and c = wy").select("q", "node", "up_q", "up", F.col("d").cast("long").alias("d")))
     active, done = up, None
     while True:
-        r = up.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
-        step = scratch.save(active.join(r, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("up2").isNull().alias("at_head")))
-        ended = step.where("at_head").select("node", "up", "d")
+        r = up.select(F.col("q").alias("up_q"), F.col("node").alias("up"), F.col("up_q").alias("up2_q"), F.col("up").alias("up2"), F.col("d").alias("d2"))
+        on = active.join(r, ["up_q", "up"], "left")
+        step = scratch.save(on.select("q", "node", F.coalesce("up2_q", "up_q").alias("up_q"), F.coalesce("up2", "up").alias("up"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"), F.col("up2").isNull().alias("at_head")))
+        ended = step.where("at_head").drop("at_head")
         done = ended if done is None else done.unionByName(ended)
-        active = step.where("not at_head").select("node", "up", "d")
+        active = step.where("not at_head").drop("at_head")
         if active.isEmpty():
             break
         up = done.unionByName(active)
-    tails = done.join(nodes.select("node", "n"), "node").groupBy(F.col("up").alias("node")).agg(F.max(F.col("d") + F.col("n")).alias("long"))
-    inner = done.select("node")
-    heads = nodes.join(scratch.save(inner), "node", "left_anti").join(scratch.save(tails), "node", "left")
+    tails = done.join(nodes.select("q", "node", "n"), ["q", "node"]).groupBy(F.col("up_q").alias("q"), F.col("up").alias("node")).agg(F.max(F.col("d") + F.col("n")).alias("long"))
+    inner = done.select("q", "node")
+    heads = nodes.join(scratch.save(inner), ["q", "node"], "left_anti").join(scratch.save(tails), ["q", "node"], "left")
     return heads.select("q", "node", F.coalesce("long", "n").cast("int").alias("n"))
 
 
@@ -76,9 +81,9 @@ def _first_bits(ctx: DataFrame, win: Windows, scratch: Scratch) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(batch.column(i).take(take) for i in (0, 1, 3, 4)), pa.array((t["s"].to_numpy().astype(np.int64)[row] + j).astype(np.int32)), pa.array(j.astype(np.int32))], ["h", "q", "node", "o", "rid", "p", "j"])
 
     rows = scratch.save(arrow_map(ctx.where(F.col("size") > LARGE_BUCKET).select(*cols), dealt, "h long, q long, node long, o long, rid long, p int, j int"))
-    first = scratch.save(rows.groupBy("h").agg(F.min(F.struct("o", "rid", "p")).alias("f")))
+    first = scratch.save(rows.groupBy("q", "h").agg(F.min(F.struct("o", "rid", "p")).alias("f")))
     mine = (F.col("f.o") == F.col("o")) & (F.col("f.rid") == F.col("rid")) & (F.col("f.p") == F.col("p"))
-    per = rows.join(first, "h").groupBy("q", "node").agg(F.array_sort(F.collect_list(F.struct("j", F.when(mine, "01").otherwise("00").alias("d")))).alias("w"))
+    per = rows.join(first, ["q", "h"]).groupBy("q", "node").agg(F.array_sort(F.collect_list(F.struct("j", F.when(mine, "01").otherwise("00").alias("d")))).alias("w"))
     many = per.select("q", "node", F.unhex(F.array_join(F.transform("w", lambda x: x["d"]), "")).alias("bits"))
     return few.unionByName(many)
 
@@ -95,7 +100,7 @@ def later_repeats(scratch: Scratch, base: DataFrame, window: int, gram: int) ->
     closed = sized.where("size = 1 and weight > 1").select("q", "node", "weight", "n", "rid", "s")
     paths = scratch.save(compact(scratch, occ, closed))
     # A path's first occurrence is its head's, and it takes the head's place with all its windows.
-    longer = paths.join(closed.select("node", F.col("rid").alias("f_rid"), F.col("s").alias("f_s")), "node").select("q", "node", "n", F.lit(None).cast("binary").alias("bits"), F.col("f_rid"), F.col("f_s").cast("long").alias("f_s"))
+    longer = paths.join(closed.select("q", "node", F.col("rid").alias("f_rid"), F.col("s").alias("f_s")), ["q", "node"]).select("q", "node", "n", F.lit(None).cast("binary").alias("bits"), F.col("f_rid"), F.col("f_s").cast("long").alias("f_s"))
     ctx = scratch.save(contexts(base, sized.where("size > 1"), win, ["size", "o", "rid", "s"]))
     open_ = _first_bits(ctx, win, scratch).join(nodes.select("q", "node", "n", F.col("rid").alias("f_rid"), F.col("s").cast("long").alias("f_s")), ["q", "node"])
     verdicts = scratch.save(longer.unionByName(open_.select("q", "node", "n", "bits", "f_rid", "f_s")))

@@ -3,6 +3,11 @@
 Suffixes start in buckets by their first q-gram; a bucket of one is done. What is left is refined by sorting on the
 bucket identifiers of later offsets, and each round reuses the identifiers of the one before, until suffixes in one
 bucket share the whole window.
+
+Suffixes are looked at in runs with one smallest q-gram (see ``repeats``). A run whose q-gram has no other run needs no
+refinement: it repeats as a whole. Buckets of up to ``LARGE_BUCKET`` runs are refined in one task each; larger ones, which
+no task could hold, are dealt out by the hash of the whole window, the last bucket that refinement comes to. Runs and such
+windows are equal if 128 bits are: the q-gram's hash and their own.
 """
 
 from __future__ import annotations
@@ -73,8 +78,8 @@ def _open_bits(ctx: DataFrame, win: Windows, scratch: Scratch) -> DataFrame:
 
     rows = arrow_map(ctx.where(F.col("size") > LARGE_BUCKET).select("q", "node", "n", "weight", "items"), dealt, "h long, q long, node long, j int, weight long")
     rows = scratch.save(rows)
-    dup = scratch.save(rows.groupBy("h").agg(F.sum("weight").alias("c")).where("c > 1").select("h", F.lit(1).alias("dup")))
-    per = rows.join(dup, "h", "left").groupBy("q", "node").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("dup", F.lit(0)).alias("d")))).alias("w"))
+    dup = scratch.save(rows.groupBy("q", "h").agg(F.sum("weight").alias("c")).where("c > 1").select("q", "h", F.lit(1).alias("dup")))
+    per = rows.join(dup, ["q", "h"], "left").groupBy("q", "node").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("dup", F.lit(0)).alias("d")))).alias("w"))
     many = per.select("q", "node", F.unhex(F.array_join(F.transform("w", lambda x: F.lpad(x["d"].cast("string"), 2, "0")), "")).alias("bits"))
     return few.unionByName(many)
 
