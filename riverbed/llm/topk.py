@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, binary, tune
+from .common import BATCH, Scratch, arrow_map, binary, settings, tune
 
 #: Rows in a block of candidates, and queries in a block of queries.
 CANDIDATES, QUERIES = 8192, 256
+#: Blocks of candidates and of queries that meet in one group, about.
+MEET_CANDIDATES, MEET_QUERIES = 4, 8
 #: Shares of every list that have been read after each round.
-ROUNDS = (0.35, 0.55, 0.7, 0.85, 1.0)
+ROUNDS = (0.5, 0.8, 0.9, 1.0)
 #: Sums under this are exact in doubles.
 EXACT = 2**52
 
@@ -30,42 +32,48 @@ class Lists:
         rank = np.empty_like(self.order)
         np.put_along_axis(rank, self.order, np.arange(self.n)[:, None].repeat(self.dims, 1), axis=0)
         self.rank = rank
+        #: Share of the entries of their lists that the queries so far have read, summed over queries.
+        self.read = 0.0
 
     def top(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each row of ``q`` the row numbers and scores of its k best, ties to smaller ids; ``own``: the query's id.
 
-        A list is read from the end at which its product with the query is largest. A candidate's bounds take for each
-        list that hasn't shown it the last product read (at most) and the product at the far end (at least). A query
-        stops once few candidates have an upper bound that reaches its k-th lower bound; their scores are then resolved.
+        A list is read from the end at which its product with the query is largest, round by round, and each entry once:
+        a round adds what it reads. A candidate's bounds take for each list that hasn't shown it the last product read (at
+        most) and the product at the far end (at least). A query stops once few candidates have an upper bound that
+        reaches its k-th lower bound; their scores are then resolved.
         """
         out: list = [None] * len(q)
         left = np.arange(len(q))
         exact = self.dims * max(1, int(np.abs(self.x).max(initial=0))) * max(1, int(np.abs(q).max(initial=0))) < EXACT
         pos, neg = np.maximum(q, 0).T.astype(float), np.minimum(q, 0).T.astype(float)
         values = self.x.astype(float)
-        far = pos * self.ranked[0][:, None] + neg * self.ranked[-1][:, None]
+        ends = np.vstack([pos * self.ranked[:1].T, neg * self.ranked[-1:].T])  # the far ends of lists read downwards, upwards
+        weight = np.vstack([pos, neg])
         mine = self.ids[:, None] == own[None, :]
+        got, sure = np.zeros((self.n, len(q))), np.zeros((self.n, len(q)))  # by candidate: what has been read, and the far ends of those lists
+        done_at = 0
         for share in ROUNDS if exact and self.n > 4 * k else ():
             depth = max(1, int(np.ceil(self.n * share)))
-            high, low = self.rank >= self.n - depth, self.rank < depth  # shown by a list read downwards, upwards
-            p, m = pos[:, left], neg[:, left]
-            acc = (values * high) @ p + (values * low) @ m
-            hidden = np.hstack([~high, ~low]).astype(float)
-            sign = np.vstack([p > 0, m < 0])
-            worst = np.vstack([far[:, left]] * 2) * sign
-            front = np.vstack([p * self.ranked[self.n - depth][:, None], m * self.ranked[depth - 1][:, None]])
-            lower = acc + hidden @ worst
+            shown = np.hstack([self.rank >= self.n - depth, self.rank < depth])
+            new = shown & ~np.hstack([self.rank >= self.n - done_at, self.rank < done_at])
+            got += (np.hstack([values, values]) * new) @ weight[:, left]
+            sure += new.astype(float) @ ends[:, left]
+            last = np.vstack([pos[:, left] * self.ranked[self.n - depth][:, None], neg[:, left] * self.ranked[depth - 1][:, None]])
+            lower = got + ends[:, left].sum(axis=0) - sure
             lower[mine[:, left]] = -np.inf
             floor = np.partition(lower, self.n - k, axis=0)[self.n - k]
-            open_ = (acc + hidden @ front >= floor) & ~mine[:, left]
-            done = open_.sum(axis=0) <= max(8 * k, self.n // 64) if share < 1 else np.ones(len(left), bool)
+            open_ = (got + (~shown).astype(float) @ last >= floor) & ~mine[:, left]
+            done = open_.sum(axis=0) <= max(8 * k, self.n // 16) if share < 1 else np.ones(len(left), bool)
             for j in np.flatnonzero(done):
                 out[left[j]] = self.resolve(np.flatnonzero(open_[:, j]), q[left[j]], k)
-            left = left[~done]
+            self.read += share * int(done.sum())
+            left, got, sure, done_at = left[~done], got[:, ~done], sure[:, ~done], depth
             if not len(left):
                 break
-        for j in left:
+        for j in left:  # few candidates, or sums that doubles can't hold
             out[j] = self.resolve(np.flatnonzero(~mine[:, j]), q[j], k)
+            self.read += 1
         return out
 
     def resolve(self, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,41 +105,51 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     Components become floor(scale * x). Rows with a null id, a null vector, or a null or non-finite component take no
     part. Vectors of another length than the query's aren't compared; an empty table gives no rows. Of rows that share
-    an id, each counts as a candidate, and none is a candidate of a query with that id. A query that is repeated is
-    answered once. Other columns are ignored.
+    an id, each counts as a candidate, and none is a candidate of a query with that id. Of queries that share an id, the
+    one with the smallest vector is answered. Other columns are ignored.
 
-    Candidates and queries become packed blocks; each pair of blocks meets in one join row, and only k rows for each
-    query and candidate block are shuffled on.
+    Candidates and queries become packed blocks. Every block of either must meet every one of the other; a few of each meet
+    in a group, so no key has all of them, and only k rows for each query and candidate block are shuffled on.
     """
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CANDIDATES))
-    scratch = Scratch(spark, "topk")
-
-    def whole(df: DataFrame) -> DataFrame:
-        v = F.col(vector_col)
-        fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-
-    parts = max(2, spark.sparkContext.defaultParallelism)
-    c = scratch.save(_blocks(whole(vectors), CANDIDATES))
-    q = scratch.save(_blocks(whole(queries).dropDuplicates(["id"]).coalesce(parts), QUERIES))
-    meet = c.select(F.col("block").alias("c_block"), "dims").join(q.select(F.col("block").alias("q_block"), F.col("dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "dims")
-    pairs = meet.drop("dims").join(c.withColumnRenamed("block", "c_block"), "c_block").repartition(F.col("c_block"), F.col("q_block"))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lists = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["c_block"] != last:
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    last, lists = row["c_block"], Lists(np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dims"]), ids)
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q_v = np.frombuffer(row["q_vectors"], np.int64).reshape(len(q_ids), row["dims"])
-                found = lists.top(q_v, q_ids, k)
-                n = [len(r) for r, _ in found]
-                rows, score = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(lists.ids[rows]), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    best = pairs.sortWithinPartitions("c_block").select("c_block", "q_block", "dims", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(answer, "query_id long, vec_id long, score long")
+    with settings(spark, {BATCH: CANDIDATES}):
+        scratch = Scratch(spark, "topk")
+
+        def whole(df: DataFrame) -> DataFrame:
+            v = F.col(vector_col)
+            fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+            return df.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+
+        parts = max(2, spark.sparkContext.defaultParallelism)
+        c = scratch.save(_blocks(whole(vectors), CANDIDATES))
+        q = scratch.save(_blocks(whole(queries).groupBy("id").agg(F.min("v").alias("v")).coalesce(parts), QUERIES))
+    with settings(spark, {BATCH: 1}):  # a row is a block
+        return scratch.save(_best(c, q, k))
+
+
+def _best(c: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over candidate blocks ``c`` and query blocks ``q`` (block, dims, ids, vectors)."""
+    c_salts, q_salts = max(1, -(-c.count() // MEET_CANDIDATES)), max(1, -(-q.count() // MEET_QUERIES))
+    salt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = c.withColumn("x", salt(c_salts)).withColumn("y", every(q_salts)).drop("block")
+    right = q.withColumn("y", salt(q_salts)).withColumn("x", every(c_salts)).drop("block")
+
+    def answer(candidates: pa.Table, asked: pa.Table) -> pa.Table:
+        query_ids, vec_ids, scores = [], [], []
+        for row in candidates.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            lists = Lists(np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dims"]), ids) if asked.num_rows else None
+            for ask in asked.to_pylist():
+                q_ids = np.frombuffer(ask["ids"], np.int64)
+                found = lists.top(np.frombuffer(ask["vectors"], np.int64).reshape(len(q_ids), row["dims"]), q_ids, k)
+                query_ids.append(np.repeat(q_ids, [len(r) for r, _ in found]))
+                vec_ids += [ids[r] for r, _ in found]
+                scores += [s for _, s in found]
+        flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64))
+        return pa.table([flat(query_ids), flat(vec_ids), flat(scores)], ["query_id", "vec_id", "score"])
+
+    keys = ("dims", "x", "y")
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(answer, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
