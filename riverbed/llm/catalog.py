@@ -24,26 +24,32 @@ def tokenizer(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 4096 tokens."""
     return packing.packed(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based and unigram scores of every document."""
     return lm.score(spark, table(spark, sf_dir, "documents"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near-duplicates of every document, at 85 %."""
     return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"), num=85)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 400 that start elsewhere too."""
     return suffix.dedup(spark, table(spark, sf_dir, "documents"), digest=True)
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document's ids, read back from the coded files."""
     return codec.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
     out = decontaminate.hits(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -52,21 +58,25 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
     return toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines that its host has on too many pages."""
     out = lines.dedup(spark, table(spark, sf_dir, "pages"), lines.url_host(F.col("url")), lines.html_lines(F.col("html")))
     n, k = F.size("lines").cast("long"), F.size("kept").cast("long")
     return out.select(F.col("page.page_id").alias("page_id"), "host", n.alias("n_lines"), (n - k).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector."""
     e = table(spark, sf_dir, "embeddings")
     return topk.search(spark, e, e.where(F.col("vec_id") % 50 == 0))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 20 words that start earlier too."""
     return substring.dedup(spark, table(spark, sf_dir, "documents"), digest=True)
 
 

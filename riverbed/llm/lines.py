@@ -59,13 +59,11 @@ def dedup(spark: SparkSession, pages: DataFrame, host: Column, lines: Column, ma
     often = counted(base).groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     bad = scratch.save(often.join(total, "host").where(F.col("n") > max_share * F.col("total")).select("host", "a", "b"))
     if bad.count() <= BROADCAST_LINES:
-        gone = bad.groupBy("host").agg(F.collect_list("a").alias("bad"))
-        out = base.join(F.broadcast(gone), "host", "left").withColumn("gone", F.array_intersect(F.transform(full, first), "bad"))
-        drop = lambda x: F.array_contains("gone", first(x))
+        gone = bad.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("bad"))
+        out = base.join(F.broadcast(gone), "host", "left").withColumn("gone", F.array_intersect(F.transform(full, key), "bad"))
     else:
         base = scratch.save(base)
         gone = counted(base).join(bad, ["host", "a", "b"]).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
         out = base.join(gone, "rid", "left")
-        drop = lambda x: F.array_contains("gone", key(x))
-    kept = F.when(F.coalesce(F.size("gone"), F.lit(0)) <= 0, F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~drop(x)))
+    kept = F.when(F.coalesce(F.size("gone"), F.lit(0)) <= 0, F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains("gone", key(x))))
     return out.select("page", F.when(F.col("host") != "", F.substring("host", 2, 1 << 30)).alias("host"), "lines", kept.alias("kept"))

@@ -22,8 +22,9 @@ from . import units
 from .common import Scratch, arrow_map, binary, pack, slices, text_buffer, tune
 
 LIMIT = 4096
-#: Pieces in a block, islands of a block, epochs between migrations, packings on an island, children in an epoch.
-BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 2, 2, 4, 6
+#: Pieces in a block, islands of a block, epochs between migrations, packings on an island, children in an epoch at most. An
+#: island that meets the lower bound on sequences has no need of more, so only blocks that are hard to pack take them all.
+BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 3, 3, 6, 16
 #: Bins filled to less than this share are opened again in the last round.
 FULL = 0.995
 
@@ -85,14 +86,19 @@ def cross(a: np.ndarray, b: np.ndarray, size: np.ndarray, limit: int, rng: np.ra
     return np.array(out, np.int32)
 
 
+def bound(size: np.ndarray, limit: int) -> int:
+    """No packing has fewer bins."""
+    return -(-int(size.sum()) // limit)
+
+
 def evolve(size: np.ndarray, pop: list[np.ndarray], children: int, limit: int, seed: int) -> list[np.ndarray]:
     """The best of the population and its children, best first; stops once the lower bound is met."""
     rng = np.random.default_rng(seed)
-    bound = -(-int(size.sum()) // limit)
+    least = bound(size, limit)
     pop = sorted(pop, key=lambda p: fitness(p, size, limit), reverse=True)
     keep = len(pop)
     for _ in range(children):
-        if -fitness(pop[0], size, limit)[0] <= bound:
+        if -fitness(pop[0], size, limit)[0] <= least:
             break
         i, j = np.sort(rng.choice(len(pop), 2, replace=False)) if len(pop) > 1 else (0, 0)
         child = cross(pop[i], pop[j], size, limit, rng)
@@ -124,7 +130,9 @@ def assign(scratch: Scratch, pieces: DataFrame, limit: int, salt: int) -> DataFr
             block, island = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
             uids, size = batch.column(2)[r].values.to_numpy(), batch.column(3)[r].values.to_numpy().astype(np.int64)
             rng = np.random.default_rng(abs(block) * 31 + island)
-            pop = [first_packing(size, limit, None if j == island == 0 else rng) for j in range(POPULATION)]
+            pop = [first_packing(size, limit, None if island == 0 else rng)]
+            if -fitness(pop[0], size, limit)[0] > bound(size, limit):
+                pop += [first_packing(size, limit, rng) for _ in range(POPULATION - 1)]
             yield _row(block, island, uids, size, evolve(size, pop, CHILDREN, limit, abs(block) * 7 + island), limit)
 
     def go_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -132,7 +140,7 @@ def assign(scratch: Scratch, pieces: DataFrame, limit: int, salt: int) -> DataFr
             size = np.frombuffer(r["sizes"], np.int64)
             pop = list(np.frombuffer(r["pop"], np.int32).reshape(-1, len(size)))
             if r["guest"] is not None:
-                pop[-1] = np.frombuffer(r["guest"], np.int32)
+                pop = [*pop[: POPULATION - 1], np.frombuffer(r["guest"], np.int32)]
             yield _row(r["block"], r["island"], np.frombuffer(r["uids"], np.int64), size, evolve(size, pop, CHILDREN, limit, r["block"] * 13 + r["island"] + 1), limit)
 
     state = scratch.save(arrow_map(start, begin, _STATE))

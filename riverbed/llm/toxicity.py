@@ -24,8 +24,9 @@ MAX_TRAINING_BYTES = 32_000_000
 PREFIXES = (4, 5, 6)
 #: Features are hashed; the table of weights has 2**BITS entries.
 BITS = 22
-#: A feature is used if its log odds between toxic and clean documents are so many standard errors from none.
-SCREEN = 3.5
+#: A feature is used if its log odds between toxic and clean documents are so many standard errors from none. Few labels
+#: leave few such features; then the FEATURES strongest are used, down to WEAK standard errors.
+SCREEN, WEAK, FEATURES = 3.5, 2.0, 64
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STOP = np.zeros(256, dtype=bool)
@@ -125,7 +126,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 40, l2: float = 2e-5,
     p1, p0 = with_[some] + 0.5, without[some] + 0.5
     q1, q0 = y.sum() + 1 - p1, (1 - y).sum() + 1 - p0
     z = np.log(p1 * q0 / (p0 * q1)) / np.sqrt(1 / p1 + 1 / p0 + 1 / q1 + 1 / q0)
-    used = some[np.abs(z) >= SCREEN]
+    strongest = np.sort(np.abs(z))[::-1][:FEATURES]
+    used = some[np.abs(z) >= min(SCREEN, max(WEAK, strongest[-1] if len(strongest) else WEAK))]
     if not len(used):
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), bias)
     slot = np.full(1 << BITS, -1, np.int32)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from riverbed.llm import catalog, decontaminate, lines, neardup, substring, suffix, topk
+from riverbed.llm import catalog, common, decontaminate, lines, neardup, substring, suffix, topk
 from support import ORACLE, SMALL, compare
 
 
@@ -136,6 +137,26 @@ def test_shared_passages(spark, collected, monkeypatch, large):
     assert [(i, n, r, s, bytes(k)) for i, n, r, s, k in collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept")] == by_row(rows, want)
 
 
+def test_planted_passages_go_by_their_bytes(spark, collected):
+    """A passage of over 50 words goes if it has 400 bytes, whatever the number of its words."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 11)))
+    texts, passages = [[word() for _ in range(150)] for _ in range(120)], [[word() for _ in range(rng.randrange(51, 75))] for _ in range(40)]
+    for i, p in enumerate(passages):
+        for j in (3 * i, 3 * i + 1):  # two documents of three
+            at = rng.randrange(1, 150)
+            texts[j][at:at] = ["X" + word(), *p, "Y" + word()]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    size = [len(" ".join(p)) for p in passages]
+    assert min(size) < 380 and max(size) > 420
+    for i, n in enumerate(size):
+        # With the spaces around it, a passage is shared with two bytes more, and with others if neighbours happen to agree.
+        for j in (0, 1):
+            assert 0 <= got[3 * i + j] - (n + 2) <= 6 if n + 2 >= 400 else n + 8 >= 400 or not got[3 * i + j]
+        assert not got[3 * i + 2]
+
+
 def test_decontamination(spark, odd, collected):
     rows, df = odd
     long_ = [t for i, t in rows if i == 10][0].split(" ")
@@ -197,6 +218,34 @@ def test_top_k(spark, monkeypatch, size):
     assert [r["vec_id"] for r in ties] == [0, 1, 2, 3, 4]
 
 
+def test_lists_are_read_in_part(monkeypatch):
+    """A query stops before the ends of the lists, and each entry is read once."""
+    rng = np.random.default_rng(2)
+    x = np.floor(256 * rng.normal(size=(3000, 16)) / 4).astype(np.int64)
+    lists = topk.Lists(x, np.arange(3000))
+    q = x[::60]
+    found = lists.top(q, np.arange(0, 3000, 60), 5)
+    for j, (rows, score) in enumerate(found):
+        s = x @ q[j]
+        s[60 * j] = -(2**40)
+        best = np.lexsort((np.arange(3000), -s))[:5]
+        assert rows.tolist() == best.tolist() and score.tolist() == s[best].tolist()
+    assert lists.read / len(q) < 0.9
+    skewed = topk.Lists(x * (2 ** np.arange(16))[::-1], np.arange(3000))
+    skewed.top(q, np.full(len(q), -1), 5)
+    assert skewed.read / len(q) < lists.read / len(q)
+
+
+def test_a_repeated_query_is_answered_once(spark):
+    """With the smallest of its vectors; rows of its own id are no candidates."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.parquet.compression.codec",)}
+    out = topk.search(spark, df, df.where("vec_id = 50"))
+    assert [tuple(r) for r in out.orderBy("rank").collect()] == [(50, 1, 1, 2 * 256 * 256), (50, 2, 3, 2 * 256 * 256), (50, 3, 2, 0)]
+    assert spark.conf.get(common.BATCH) == str(common.BATCH_ROWS) and {k: spark.conf.get(k) for k in before} == before
+
+
 def test_empty_tables(spark, none):
     assert neardup.near_duplicates(spark, none).count() == suffix.dedup(spark, none).count() == substring.dedup(spark, none).count() == 0
     b = spark.createDataFrame([], "item_id long, text string")

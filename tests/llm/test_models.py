@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from riverbed.llm import catalog, codec, lm, packing, toxicity, units
+from riverbed.llm import catalog, codec, common, lm, packing, toxicity, units
 from support import ORACLE, SMALL
 
 WORDS_FILE, BYTES_FILE = catalog.tokenizer("word_bpe_49k.json"), catalog.tokenizer("byte_bpe_50k.json")
@@ -74,6 +74,54 @@ def test_genetic_search(seed):
     assert np.bincount(out[0], size).max() <= 100
 
 
+def triplets(rng, bins):
+    """Sizes of which three fill 1000 exactly, each of them over a quarter: best fit by falling size does badly on them."""
+    a = rng.integers(380, 490, bins)
+    b = np.array([rng.integers((1000 - x) // 2 - 60, (1000 - x) // 2 + 1) for x in a])
+    b = np.maximum(b, 251)
+    return rng.permutation(np.concatenate([a, b, 1000 - a - b]))
+
+
+def test_genetic_search_beats_best_fit():
+    """On triplets, with the children of one epoch of one island, and more with more of them."""
+    won = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        size = triplets(rng, 40)
+        first = packing.first_packing(size, 1000, None)
+        pop = [first] + [packing.first_packing(size, 1000, rng) for _ in range(packing.POPULATION - 1)]
+        start = max(packing.fitness(p, size, 1000) for p in pop)
+        few, many = (packing.evolve(size, pop, n, 1000, seed)[0] for n in (packing.CHILDREN, 200))
+        assert packing.fitness(many, size, 1000) >= packing.fitness(few, size, 1000) >= start
+        assert np.bincount(many, size).max() <= 1000
+        assert -packing.fitness(few, size, 1000)[0] < int(first.max()) + 1
+        won += -packing.fitness(many, size, 1000)[0] < -start[0]
+    assert won >= 3
+
+
+def test_islands_beat_best_fit_and_elites_move(spark, monkeypatch):
+    """The whole search on a block of triplets; without migration each island keeps to itself."""
+    size = triplets(np.random.default_rng(9), 60).tolist()
+    size += [500] * 7  # ties
+    df = spark.createDataFrame(list(enumerate(size)), "uid long, length long")
+    first = int(packing.first_packing(np.array(size), 1000, None).max()) + 1
+    scratch = common.Scratch(spark, "t")
+    out = packing.assign(scratch, df, 1000, 0).collect()
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["bin"]].append((r["offset"], size[r["uid"]]))
+    assert len(out) == len(size) and all(sum(s for _, s in b) <= 1000 for b in bins.values())
+    assert all(o == sum(s for q, s in b if q < o) for b in bins.values() for o, _ in b)
+    assert len(bins) < first
+    # A guest that is better than all of an island's own becomes its best.
+    rng = np.random.default_rng(1)
+    x = triplets(rng, 30)
+    own = [packing.first_packing(x, 1000, rng) for _ in range(3)]
+    elite = packing.evolve(x, [packing.first_packing(x, 1000, rng) for _ in range(6)], 300, 1000, 3)[0]
+    assert packing.fitness(elite, x, 1000) > max(packing.fitness(p, x, 1000) for p in own)
+    assert packing.fitness(packing.evolve(x, [*own, elite], 0, 1000, 1)[0], x, 1000) == packing.fitness(elite, x, 1000)
+
+
 def test_blocks_meet_again(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 50)
     rng = random.Random(2)
@@ -209,6 +257,17 @@ def test_language_model_is_the_same_however_texts_are_dealt(spark):
     assert one.keys() == many.keys() and np.allclose([one[i] for i in one], [many[i] for i in one])
 
 
+def test_numbers_are_short():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 1 << k, 50) for k in (1, 7, 8, 14, 15, 22, 40, 62)])
+    cuts = np.array([0, 3, 3, 200, len(x)])
+    parts = lm.short(x, cuts).to_pylist()
+    assert [v.tolist() for v in lm.values_of(parts)] == [x[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    rising = np.concatenate([np.sort(rng.integers(0, 10**6, 100)), np.sort(rng.integers(0, 300, 100))])
+    assert lm.numbers(lm.short(lm.steps_of(rising, np.array([0, 100])), np.array([0, 100, 200])).to_pylist()).tolist() == rising.tolist()
+    assert lm.values_of([]) == [] and lm.flat([]).tolist() == lm.numbers([b""]).tolist() == []
+
+
 def test_core_is_the_most_frequent_words_of_all_blocks(spark):
     """Two words that are rarer in every block than thousands of its own words, and the most frequent in all."""
     rng = random.Random(5)
