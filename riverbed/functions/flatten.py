@@ -6,48 +6,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.paths import Path, path_text
+from ..streaming import folders
 from .resolve import VariantEvent, variant_tag
 
-#: Depth at which flattening stops by default.
-MAX_DEPTH = 64
+#: Levels that one plan descends; deeper events are written in between.
+LEVELS = 24
 
 
 def _segment(key: Column) -> Column:
     return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
 
 
-def flatten(df: DataFrame, key: list[str], event: str = "event", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(key.., path, tag, num, str, bool, elements): every scalar and array below an event, level by level.
+def depth(event: Column) -> Column:
+    """How deep the containers of an event are nested; 0 for a scalar."""
+    bare = F.regexp_replace(F.to_json(event), r'"(?:[^"\\]|\\.)*"', "")
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    Arrays give a row with their scalar elements and are descended into by offset; objects are only descended into.
-    Each level is one pass without a shuffle; it ends when nothing is left to descend into (a batch operation).
+    def step(a: Column, c: Column) -> Column:
+        now = a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    return F.aggregate(steps, zero, step)["most"]
+
+
+def _children(node: Column) -> Column:
+    """A node (path, v, done) as the nodes it leaves: itself if it is done, or its children; arrays stay beside theirs."""
+    v, path = node["v"], node["path"]
+    below = lambda name: F.when(path.isNull(), name).otherwise(F.concat(path, F.lit("/"), name))
+    new = lambda name, x: F.struct(below(name).alias("path"), x.alias("v"), variant_tag(x).isNotNull().alias("done"))
+    is_array = F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
+    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: new(_segment(e["key"]), e["value"]))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: new(i.cast("string"), x))
+    own = F.array(F.struct(path.alias("path"), v.alias("v"), F.lit(True).alias("done")))
+    return F.when(node["done"], own).when(is_array, F.when(path.isNull(), items).otherwise(F.concat(own, items))).otherwise(fields)
+
+
+def flatten(df: DataFrame, key: list[str], event: str = "event") -> DataFrame:
+    """(key.., path, tag, num, str, bool, elements): every scalar and array below an event, at any depth.
+
+    Arrays give a row with their scalar elements and are descended into by offset; objects are only descended into. A batch
+    operation: one job finds the depth, and then a single pass without a shuffle descends a level at a time.
     """
-    level = df.select(*key, F.lit("").alias("path"), F.col(event).alias("v"))
-    out = None
-    for depth in range(max_depth + 1):
-        kind = F.schema_of_variant("v")
-        here = level.select("*", variant_tag(F.col("v")).alias("tag"), F.startswith(kind, F.lit("ARRAY")).alias("is_array"))
-        if depth:
-            shown = here.where("tag IS NOT NULL OR is_array").select(
-                *key, "path", F.coalesce("tag", F.lit("array")).alias("tag"),
-                F.when(F.col("tag") == "number", F.try_variant_get("v", "$", "double")).alias("num"),
-                F.when(F.col("tag") == "string", F.try_variant_get("v", "$", "string")).alias("str"),
-                F.when(F.col("tag") == "bool", F.try_variant_get("v", "$", "boolean")).alias("bool"),
-                F.when(F.col("is_array"), VariantEvent("v").elements(())).alias("elements"),
-            )
-            out = shown if out is None else out.unionByName(shown)
-        nested = here.where("tag IS NULL AND v IS NOT NULL").createOrReplaceTempView("flatten_level__")
-        cols = ", ".join(f"l.`{k}`" for k in key)
-        children = df.sparkSession.sql(f"SELECT {cols}, l.path AS parent, x.key AS k, x.pos AS pos, x.value AS v FROM flatten_level__ l, LATERAL variant_explode(l.v) x")
-        del nested
-        name = F.coalesce(_segment(F.col("k")), F.col("pos").cast("string"))
-        level = children.select(*key, F.when(F.col("parent") == "", name).otherwise(F.concat("parent", F.lit("/"), name)).alias("path"), "v")
-        if depth == max_depth or level.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")) | F.startswith(F.schema_of_variant("v"), F.lit("ARRAY")) | F.lit(depth == 0)).isEmpty():
-            kind = F.schema_of_variant("v")
-            last = level.select("*", variant_tag(F.col("v")).alias("tag")).where("tag IS NOT NULL")
-            rest = last.select(*key, "path", "tag", *[F.when(F.col("tag") == t, F.try_variant_get("v", "$", c)).alias(n) for t, c, n in (("number", "double", "num"), ("string", "string", "str"), ("bool", "boolean", "bool"))], F.lit(None).cast("array<struct<tag:string,num:double,str:string,bool:boolean>>").alias("elements"))
-            return rest if out is None else out.unionByName(rest)
-    return out
+    spark = df.sparkSession
+    level = df.select(*key, F.struct(F.lit(None).cast("string").alias("path"), F.col(event).alias("v"), F.lit(False).alias("done")).alias("node__")).where(F.col("node__.v").isNotNull())
+    left = df.agg(F.max(depth(F.col(event)))).first()[0] or 0
+    while left > 0:
+        for _ in range(min(left, LEVELS)):
+            level = level.select(*key, F.explode(_children(F.col("node__"))).alias("node__"))
+        left -= LEVELS
+        if left > 0:
+            path = folders.fresh(spark, "flatten")
+            level.write.parquet(path)
+            level = spark.read.schema(level.schema).parquet(path)
+    rows = level.where(F.col("node__.path").isNotNull()).select(*key, "node__.path", "node__.v")  # the root has no path
+    tag = variant_tag(F.col("v"))
+    return rows.select(
+        *key, "path", F.coalesce(tag, F.lit("array")).alias("tag"),
+        F.when(tag == "number", F.try_variant_get("v", "$", "double")).alias("num"),
+        F.when(tag == "string", F.try_variant_get("v", "$", "string")).alias("str"),
+        F.when(tag == "bool", F.try_variant_get("v", "$", "boolean")).alias("bool"),
+        F.when(tag.isNull(), VariantEvent("v").elements(())).alias("elements"),
+    )
 
 
 def flatten_paths(df: DataFrame, key: list[str], paths: list[Path], event: str = "event") -> DataFrame:
@@ -77,6 +97,33 @@ def utf8_prefix(text: Column, n: int) -> Column:
     return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.substring(b, F.lit(1), cut), "UTF-8"))
 
 
+#: The usual base64 digits, and digits in the order of their bytes.
+USUAL, ORDERED = (f"{a}{b}" for a, b in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789+/"), ("-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "_abcdefghijklmnopqrstuvwxyz")))
+
+
+def radix64(data: Column) -> Column:
+    """Bytes as text of 64 digits that sorts as the bytes do, also where one is a prefix of the other."""
+    return F.translate(F.rtrim(F.base64(data), F.lit("=")), USUAL, ORDERED)
+
+
+def from_radix64(text: Column) -> Column:
+    """The bytes again."""
+    usual = F.translate(text, ORDERED, USUAL)
+    return F.unbase64(F.rpad(usual, F.length(usual) + (4 - F.length(usual) % 4) % 4, "="))
+
+
+def long_bytes(x: Column) -> Column:
+    """A long as its 8 bytes, the highest first."""
+    return F.unhex(F.lpad(F.hex(x.cast("long")), 16, "0"))
+
+
+def long_of(data: Column) -> Column:
+    """The long of 8 bytes."""
+    h = F.hex(data)
+    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    return F.when(F.octet_length(data) == 8, F.shiftleft(half(1), 32).bitwiseOR(half(9)))
+
+
 def random_id(n: int = 15) -> Column:
     """Random bytes as base64."""
     return F.base64(F.to_binary(F.substring(F.concat(F.sha2(F.uuid(), 256), F.sha2(F.uuid(), 256)), 1, 2 * n), F.lit("hex")))

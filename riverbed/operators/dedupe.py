@@ -9,26 +9,40 @@ KEY = ["channel", "source", "id"]
 TTL = "180 seconds"
 
 
-def first_events(df: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """One row for each key of a table; which one is left open."""
-    return df.dropDuplicates(key or KEY)
+def first_events(df: DataFrame, key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The first row of each key of a table, by ``order``: ingest_ts and offset unless told, as far as there are such columns.
+
+    No time counts as the earliest; rows that tie in all of them are the same event, and one of them stays.
+    """
+    key = key or KEY
+    order = [c for c in ("ingest_ts", "offset") if c in df.columns] if order is None else order
+    if not order:
+        return df.dropDuplicates(key)
+    # A minimum is taken before the shuffle too, so a key that is repeated often is no hot one.
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*order)).alias("first__"))
+    return first.select("first__.*")
 
 
 def first_events_within(df: DataFrame, ttl_seconds: float = 180, key: list[str] | None = None, ts: str = "ingest_ts") -> DataFrame:
     """A table's events without those that repeat a key within ``ttl_seconds`` of the key's last accepted event.
 
-    A repeated event doesn't extend the lifetime, so acceptance is decided key by key in time order, with a fold over
-    the times of one key. Ties in time are repeats.
+    A repeated event doesn't extend the lifetime. Only events that follow another one of their key within the lifetime are
+    in question; a longer pause begins a run of its own, whose first event is accepted. So the fold over times in order is
+    one over the runs of a key and not over all of its times. Ties in time are repeats; of them one stays.
     """
     key = key or KEY
     seconds = F.col(ts).cast("timestamp").cast("double")
-    times = df.groupBy(*key).agg(F.array_sort(F.collect_set(seconds)).alias("t__"))
-    none = F.array().cast("array<double>")
-    kept = F.aggregate("t__", none, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, F.greatest(F.size(a), F.lit(1))) >= ttl_seconds), F.concat(a, F.array(t))).otherwise(a))
-    accepted = times.select(*key, F.explode(kept).alias("at__"))
-    w = Window.partitionBy(*key, "at__").orderBy(F.lit(0))
+    times = df.select(*key, seconds.alias("t__")).distinct()
+    in_time = Window.partitionBy(*key).orderBy("t__")
+    starts = F.coalesce(F.col("t__") - F.lag("t__").over(in_time) >= ttl_seconds, F.lit(True))
+    runs = times.withColumn("starts__", starts.cast("int")).withColumn("run__", F.sum("starts__").over(in_time))
+    lists = runs.groupBy(*key, "run__").agg(F.array_sort(F.collect_list("t__")).alias("t__"))
+    # The state is the last accepted time and all of them, so a step looks at no more than its end.
+    zero = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<double>").alias("all"))
+    step = lambda a, t: F.when(t - a["last"] >= ttl_seconds, F.struct(t.alias("last"), F.array_append(a["all"], t).alias("all"))).otherwise(a)
+    accepted = lists.select(*key, F.explode(F.aggregate("t__", zero, step)["all"]).alias("at__"))
     both = df.withColumn("at__", seconds).join(accepted, [*key, "at__"])
-    return both.withColumn("n__", F.row_number().over(w)).where("n__ = 1").select(*df.columns)
+    return first_events(both, [*key, "at__"], [c for c in ("offset",) if c in df.columns]).select(*df.columns)
 
 
 def first_events_streaming(df: DataFrame, ttl: str = TTL, key: list[str] | None = None, ts: str = "ingest_ts") -> DataFrame:

@@ -6,12 +6,13 @@ Requests are rows (channel, content_type, headers map<string,string>, body strin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import META
 
 MAX_BODY = 10 * 1024 * 1024
+OVERLOAD = "exceeded-outstanding-event-limit"
 HEADER, STRUCTURED, BATCH = "application/json", "application/cloudevents+json", "application/cloudevents-batch+json"
 
 
@@ -24,10 +25,20 @@ def channel_name(encoded: Column) -> Column:
     return F.nullif(F.try_url_decode(encoded), F.lit(""))
 
 
+def folded(headers: Column) -> Column:
+    """Headers by lower-cased name. Of names that differ in case alone, the first in byte order counts; NULL is no headers."""
+
+    def first_of_each(entries: Column) -> Column:
+        names = F.transform(entries, lambda e: e["key"])
+        return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+    lower = F.transform(F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    return F.transform(F.array(lower), first_of_each)[0]
+
+
 def attributes(headers: Column, content_type: Column) -> Column:
     """``ce-*`` headers as string attributes, names lower-cased and bare; datacontenttype from the content type."""
-    lower = F.transform_keys(headers, lambda k, _: F.lower(k))
-    ours = F.transform_keys(F.map_filter(lower, lambda k, _: F.startswith(k, F.lit("ce-"))), lambda k, _: F.substring(k, 4, 1 << 20))
+    ours = F.transform_keys(F.map_filter(folded(headers), lambda k, _: F.startswith(k, F.lit("ce-"))), lambda k, _: F.substring(k, 4, 1 << 20))
     rest = F.map_filter(ours, lambda k, _: k != "datacontenttype")
     return F.map_concat(rest, F.create_map(F.lit("datacontenttype"), content_type))
 
@@ -40,6 +51,17 @@ def is_text(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, as VARIANT; NULL otherwise.
+
+    The parser ignores what follows a value. Within brackets only one of theirs may follow, and within braces only one of
+    those, so a text that is fine in both has nothing behind its value.
+    """
+    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    only = F.try_variant_get(listed, "$[1]", "variant").isNull() & named.isNotNull()
+    return F.when(only, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
@@ -48,24 +70,39 @@ def _envelope_code(v: Column) -> Column:
     return F.when(~is_text(_field(v, "source")), "missing-event-source").when(~is_text(_field(v, "id")), "missing-event-id").when(~is_object(_field(v, "data")), "invalid-data-field")
 
 
-def judged(requests: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
+def _body_code(headers: Column, max_body: int, counted: bool, timed_out: Column | None) -> Column:
+    """What is wrong with a body as bytes. ``counted``: it needs a Content-Length, which holds; else its own size is looked at."""
+    size, late = F.octet_length("body"), F.lit(False) if timed_out is None else F.coalesce(timed_out, F.lit(False))
+    if not counted:
+        return F.when(late, "body-timeout").when(size > max_body, "body-too-large")
+    told = F.element_at(headers, "content-length")
+    n = told.try_cast("int")
+    return (
+        F.when(told.isNull(), "missing-content-length").when(n.isNull() | (n <= 0), "invalid-content-length").when(n > max_body, "body-too-large")
+        .when(late, "body-timeout").when(F.coalesce(size, F.lit(0)) != n, "partial-content")
+    )
+
+
+def judged(requests: DataFrame, max_body: int = MAX_BODY, counted: bool = False, timed_out: Column | None = None) -> DataFrame:
     """Every event of every request with ``code`` (NULL if it is fine), ``status`` and ``offset`` in its batch.
 
-    One bad event refuses its whole batch: the others carry the code ``batch-refused``.
+    One bad event refuses its whole batch: the others carry the code ``batch-refused``. ``counted`` holds bodies against
+    their Content-Length header; ``timed_out`` says which of them didn't come in time.
     """
     kind = media_type(F.col("content_type"))
-    r = requests.withColumns({"kind": kind, "attr": attributes(F.col("headers"), F.col("content_type")), "parsed": F.try_parse_json("body")})
-    too_long, bad_json = F.octet_length("body") > max_body, F.col("parsed").isNull()
-    conflict = F.element_at(F.transform_keys("headers", lambda k, _: F.lower(k)), "ce-datacontenttype")
+    r = requests.withColumns({"kind": kind, "attr": attributes(F.col("headers"), F.col("content_type")), "parsed": whole_json(F.col("body"))})
+    bad_json = F.col("parsed").isNull()
+    bad_body = _body_code(folded(F.col("headers")), max_body, counted, timed_out)
+    conflict = F.element_at(folded(F.col("headers")), "ce-datacontenttype")
     code = (
         F.when(F.col("channel").isNull() | (F.col("channel") == ""), "invalid-channel")
-        .when(F.col("channel") == META, "meta-channel")
+        .when(F.col("channel") == META, "disallowed-meta-channel-send")
         .when(F.col("content_type").isNull(), "missing-content-type")
         .when(~kind.isin(HEADER, STRUCTURED, BATCH), "invalid-content-type")
         .when((kind == HEADER) & F.element_at("attr", "source").isNull(), "missing-event-source")
         .when((kind == HEADER) & F.element_at("attr", "id").isNull(), "missing-event-id")
         .when((kind == HEADER) & (conflict != F.col("content_type")), "conflicting-data-type-headers")
-        .when(too_long, "body-too-long")
+        .when(bad_body.isNotNull(), bad_body)
         .when(bad_json, "invalid-json-body")
         .when((kind == BATCH) & ~F.startswith(F.schema_of_variant("parsed"), F.lit("ARRAY")), "invalid-json-body")
         .when((kind != BATCH) & ~is_object(F.col("parsed")), "invalid-json-body")
@@ -82,7 +119,7 @@ def judged(requests: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
     flat = r.select(*keep, "kind", refused.alias("refused"), "codes", F.posexplode_outer("events").alias("offset", "event"))
     own = F.get("codes", F.col("offset"))
     final = F.coalesce(own, F.when(F.col("refused"), "batch-refused"))
-    status = F.when(final == "meta-channel", 403).when(final == "body-too-long", 413).when(final.isNotNull(), 400).otherwise(202)
+    status = F.when(final == "disallowed-meta-channel-send", 403).when(final == "body-too-large", 413).when(final == "body-timeout", 408).when(final.isNotNull(), 400).otherwise(202)
     return flat.select(*keep, F.when(F.col("kind") == BATCH, F.col("offset")).alias("offset"), final.alias("code"), status.alias("status"), "event")
 
 
@@ -97,6 +134,14 @@ def refused(events: DataFrame) -> DataFrame:
     return events.where("code IS NOT NULL").drop("event")
 
 
+def responses(events: DataFrame, key: list[str]) -> DataFrame:
+    """(key.., status, body): the answer to each request, with the code of its first bad event or ``accepted``."""
+    own = F.when(F.col("code") != "batch-refused", F.col("code"))
+    first = F.min_by(own, F.when(own.isNotNull(), F.coalesce("offset", F.lit(0))))
+    answers = events.groupBy(*key).agg(F.max("status").alias("status"), first.alias("code__"))
+    return answers.select(*key, "status", F.to_json(F.struct(F.coalesce("code__", F.lit("accepted")).alias("code"))).alias("body"))
+
+
 def structured(lines: DataFrame, channel: Column, value: str = "value") -> DataFrame:
     """Lines of structured events, as a text or Kafka source gives them, to requests."""
     rest = [c for c in lines.columns if c != value]
@@ -113,5 +158,17 @@ def table_events(df: DataFrame, channel: str, source: str, id_col: str, type_col
 def admitted(outstanding: int, incoming: int, routers: int, limit: int) -> dict | None:
     """Back-pressure for push sources: None, or the 429 body when too much is under way already."""
     if outstanding >= limit:
-        return {"code": "too-many-outstanding", "status": 429, "count": outstanding, "limit": limit, "refused": incoming * routers}
+        return {"code": OVERLOAD, "status": 429, "count": outstanding, "limit": limit, "refused": incoming * routers}
     return None
+
+
+def admission(requests: DataFrame, order: str, size: Column, limit: int, channel: str = "channel") -> DataFrame:
+    """Requests of a batch with ``outstanding`` events ahead of each on its channel, in ``order``, and ``code`` and ``status``.
+
+    A request is refused, whole, once what was taken before it has reached ``limit``; a refused one adds nothing.
+    """
+    ahead = F.coalesce(F.sum(size).over(Window.partitionBy(channel).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = requests.withColumn("outstanding", ahead)
+    full = F.col("outstanding") >= limit
+    # Sizes aren't negative, so all that comes after a refused request is refused as well, and the sum ahead of it is what was taken.
+    return r.withColumns({"code": F.when(full, OVERLOAD), "status": F.when(full, 429).otherwise(202)})

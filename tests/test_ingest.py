@@ -26,7 +26,7 @@ def test_every_refusal(spark):
     j, s, b = envelope.HEADER, envelope.STRUCTURED, envelope.BATCH
     whole = {"source": "s", "id": "i", "data": {}}
     cases = [
-        (("main", j, GOOD, "{}"), None), (("", j, GOOD, "{}"), "invalid-channel"), ((None, j, GOOD, "{}"), "invalid-channel"), (("meta", j, GOOD, "{}"), "meta-channel"),
+        (("main", j, GOOD, "{}"), None), (("", j, GOOD, "{}"), "invalid-channel"), ((None, j, GOOD, "{}"), "invalid-channel"), (("meta", j, GOOD, "{}"), "disallowed-meta-channel-send"),
         (("main", None, GOOD, "{}"), "missing-content-type"), (("main", "text/plain", GOOD, "{}"), "invalid-content-type"),
         (("main", j, {"ce-id": "1"}, "{}"), "missing-event-source"), (("main", j, {"ce-source": "1"}, "{}"), "missing-event-id"),
         (("main", j, GOOD | {"ce-datacontenttype": "text/x"}, "{}"), "conflicting-data-type-headers"), (("main", j, GOOD | {"ce-datacontenttype": j}, "{}"), None),
@@ -37,8 +37,17 @@ def test_every_refusal(spark):
     ]
     got = codes(spark, [r for r, _ in cases])
     assert [c for _, c, _ in got] == [c for _, c in cases]
-    assert {s for _, c, s in got if c == "meta-channel"} == {403} and {s for _, c, s in got if c is None} == {202}
-    assert codes(spark, [("main", j, GOOD, '{"a":"' + "x" * 200 + '"}')], max_body=100) == [(None, "body-too-long", 413)]
+    assert {s for _, c, s in got if c == "disallowed-meta-channel-send"} == {403} and {s for _, c, s in got if c is None} == {202}
+    assert codes(spark, [("main", j, GOOD, '{"a":"' + "x" * 200 + '"}')], max_body=100) == [(None, "body-too-large", 413)]
+
+
+def test_nothing_may_follow_a_body(spark):
+    """A body is one JSON value: what stands behind it is refused and can't become attributes of the event."""
+    tails = ["}", "]", ",", ',"source":"x"', "},{", "]}", "}]", " {}", "x", ' , "id" : 2', "}}", "\n\t "]
+    got = codes(spark, [("main", envelope.HEADER, GOOD, '{"a":[1]}' + t) for t in tails])
+    assert [c for _, c, _ in got] == ["invalid-json-body"] * (len(tails) - 1) + [None]
+    df = spark.createDataFrame([(t,) for t in ("1", " null ", '"]"', "[]", "", "1 2", "1]", "1}", None)], "t string")
+    assert [r[0] for r in df.select(F.to_json(envelope.whole_json(F.col("t")))).collect()] == ["1", "null", '"]"', "[]", None, None, None, None, None]
 
 
 def test_a_batch_is_taken_whole_or_not_at_all(spark):
@@ -55,6 +64,15 @@ def test_headers_become_attributes(spark):
     assert (r["source"], r["id"]) == ("//s", "1")
 
 
+def test_names_that_differ_in_case_alone(spark):
+    """The first in byte order counts, so one sender's headers can't stop a stream; no headers at all is no map."""
+    rows = [("main", envelope.HEADER, {"ce-source": "a", "CE-Source": "b", "Ce-Id": "1", "ce-ID": "2"}, "{}"), ("main", envelope.HEADER, None, "{}"), ("main", envelope.HEADER, {"CE-DATACONTENTTYPE": "x/y", "ce-datacontenttype": envelope.HEADER, "ce-source": "s", "ce-id": "i"}, "{}")]
+    out = judged(spark, rows)
+    assert [r["code"] for r in out.orderBy("n").collect()] == [None, "missing-event-source", "conflicting-data-type-headers"]
+    good = envelope.accepted(out).collect()
+    assert [(r["source"], r["id"]) for r in good] == [("b", "1")]
+
+
 def test_channels_are_decoded(spark):
     df = spark.createDataFrame([("a%20b",), ("",), ("%",), ("x",)], "c string")
     assert [r[0] for r in df.select(envelope.channel_name(F.col("c"))).collect()] == ["a b", None, None, "x"]
@@ -67,7 +85,14 @@ def test_structured_lines(spark):
 
 def test_admission():
     assert envelope.admitted(9, 5, 2, 10) is None
-    assert envelope.admitted(10, 5, 2, 10) == {"code": "too-many-outstanding", "status": 429, "count": 10, "limit": 10, "refused": 10}
+    assert envelope.admitted(10, 5, 2, 10) == {"code": envelope.OVERLOAD, "status": 429, "count": 10, "limit": 10, "refused": 10}
+
+
+def test_admission_in_order(spark):
+    df = spark.createDataFrame([("a", i, 4) for i in range(6)] + [("b", 0, 100), ("b", 1, 1)], "channel string, n int, size int")
+    out = envelope.admission(df, "n", F.col("size"), 10).orderBy("channel", "n").collect()
+    assert [(r["channel"], r["n"]) for r in out if r["status"] == 202] == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    assert {r["code"] for r in out if r["status"] == 429} == {envelope.OVERLOAD}
 
 
 def test_frames(spark, tmp_path):
