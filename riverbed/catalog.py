@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import flatten as fl
@@ -14,7 +15,7 @@ from .operators.match import match_by_filter, match_by_join, per_client, respond
 from .plans.compile import filter_events
 from .plans.paths import Path
 from .plans.query import parse
-from .plans.registry import Registry
+from .plans.registry import DurableRegistry, Registry
 from .sources import envelope
 from .streaming import folders, pipeline, sse
 
@@ -343,6 +344,12 @@ def o_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.keys(_orders(spark, sf_dir), "o_orderkey")
 
 
+@query("o_scan", _O)
+def o_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries in no order."""
+    return index.entries(_orders(spark, sf_dir), "o_orderkey", "o_totalprice")
+
+
 @query("o_get", f"{_O} WHERE o_orderkey = 77")
 def o_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.get(_orders(spark, sf_dir), "o_orderkey", 77)
@@ -380,10 +387,14 @@ def o_delivery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, registry, sinks and sources.
 
 
-@query("t_dedupe", "SELECT DISTINCT '//events' AS source, CAST(event_id AS VARCHAR) AS id FROM events")
+@query("t_dedupe", "SELECT '//events' AS source, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'early' ELSE 'first' END AS copy FROM events")
 def t_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.lit("main").alias("channel"), F.lit("//events").alias("source"), F.col("event_id").cast("string").alias("id"))
-    return dedupe.first_events(e.unionAll(e)).select("source", "id")
+    """Each event three times; the earliest counts, and of those of one time the first of its request."""
+    e = table(spark, sf_dir, "events").select(F.lit("main").alias("channel"), F.lit("//events").alias("source"), F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 2 == 0).alias("even"))
+    copy = lambda name, seconds, offset: e.select("channel", "source", "id", F.lit(name).alias("copy"), (F.col("ts") + F.expr(f"INTERVAL '1' SECOND") * seconds).alias("ingest_ts"), F.lit(offset).alias("offset"))
+    late, first = copy("late", F.lit(2), 0), copy("first", F.lit(1), 1)
+    early = copy("early", F.when(F.col("even"), 0).otherwise(1), 2)
+    return dedupe.first_events(late.unionAll(early).unionAll(first)).select("source", "id", "copy")
 
 
 @query("t_dedupe_ttl", """
@@ -421,6 +432,29 @@ def t_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("source string, id string").parquet(out)
 
 
+@query("t_stream_ttl", """
+SELECT user_id, count(*) AS told FROM (SELECT DISTINCT user_id, event_id // ((SELECT max(event_id) FROM events) // 4 + 1) AS quarter FROM events) GROUP BY user_id
+""")
+def t_stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key is told again once its lifetime is over: the events come in four batches, an hour of the stream's clock apart.
+
+    State goes by the watermark, which follows what has been read, so two more events between the batches move the clock.
+    """
+    folder, out = folders.fresh(spark, "timed"), folders.fresh(spark, "out")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    width = e.agg(F.max("event_id")).first()[0] // 4 + 1
+    at = lambda seconds: F.timestamp_seconds(F.lit(seconds)).alias("ingest_ts")
+    for i in range(4):
+        quarter = e.where((F.col("event_id") >= i * width) & (F.col("event_id") < (i + 1) * width))
+        quarter.select("user_id", F.timestamp_seconds(i * 3600 + F.col("event_id") % 100).alias("ingest_ts")).coalesce(1).write.mode("append").parquet(folder)
+        for seconds in (1800, 1900):
+            spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), at(i * 3600 + seconds)).coalesce(1).write.mode("append").parquet(folder)
+    rows = spark.readStream.schema("user_id long, ingest_ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    told = dedupe.first_events_streaming(rows, "180 seconds", ["user_id"])
+    _run_stream(spark, told, lambda b, _: b.select("user_id").write.mode("append").parquet(out))
+    return spark.read.schema("user_id long").parquet(out).where("user_id >= 0").groupBy("user_id").agg(F.count("*").alias("told"))
+
+
 @query("t_stream_fanout", f"SELECT CAST(event_id AS VARCHAR) AS id, client_id, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS query_ids FROM ({_registry_sql('mixed')}) GROUP BY event_id, client_id")
 def t_stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folders.fresh(spark, "out")
@@ -430,43 +464,88 @@ def t_stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("id string, client_id string, query_ids string").parquet(out)
 
 
-@query("r_key_counts", "SELECT * FROM (VALUES ('main', 'data/user_id', CAST(47 AS BIGINT)), ('main', 'data/value', CAST(25 AS BIGINT)), ('main', 'type', CAST(27 AS BIGINT))) t(channel, path, n)")
+def _standing_sql(kind: str) -> str:
+    """The registry's query strings as a relation (channel, client, qid, text), and their conjunctions and terms."""
+    texts = [f"('{ch}', '{client}', '{qid}', '{q.text.replace(chr(39), chr(39) * 2)}')" for (ch, client, qid), q in registry(kind).entries.items()]
+    return f"""WITH q(channel, client, qid, text) AS (VALUES {", ".join(texts)}),
+c AS (SELECT channel, client, qid, unnest(string_split(text, ';')) AS conj FROM q),
+t AS (SELECT channel, client, qid, split_part(term, '=', 1) AS k FROM (SELECT channel, client, qid, unnest(string_split(conj, '&')) AS term FROM c) WHERE term <> ''),
+p AS (SELECT channel, CASE WHEN k[1:3] = '../' THEN k[4:] WHEN k[1:1] = '/' THEN 'data' || k ELSE 'data/' || k END AS path FROM t) """
+
+
+@query("r_key_counts", _standing_sql("mixed") + "SELECT channel, path, count(*) AS n FROM p GROUP BY channel, path")
 def r_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry("mixed").key_counts_df(spark).withColumnRenamed("count", "n")
 
 
-@query("r_active", "SELECT channel, CAST(n AS BIGINT) AS n FROM (VALUES ('main', 62), ('other', 1)) t(channel, n)")
+@query("r_active", _standing_sql("mixed") + "SELECT channel, count(*) AS n FROM c GROUP BY channel")
 def r_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry("mixed").standing(spark).groupBy("channel").agg(F.count("conj_id").alias("n"))
 
 
-@query("r_meta", "SELECT channel, CAST(n AS BIGINT) AS n FROM (VALUES ('main', 60), ('other', 1)) t(channel, n)")
+@query("r_meta", _standing_sql("mixed") + "SELECT channel, qid AS query_id, text AS query, 'registration' AS change FROM q")
 def r_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the meta channel tells of each registration."""
     m = registry("mixed").meta_events(spark).withColumn("event", F.parse_json("value"))
-    return m.groupBy(F.variant_get("event", "$.data.channel", "string").alias("channel")).agg(F.count("*").alias("n"))
+    get = lambda path: F.variant_get("event", f"$.{path}", "string")
+    return m.select(get("data.channel").alias("channel"), get("data.queryID").alias("query_id"), get("data.query").alias("query"), F.substring_index(get("type"), ".", -1).alias("change"))
+
 
+_LEFT = "c.client NOT IN ('c0', 'c3') AND c.qid NOT LIKE 'rg%' AND c.qid <> 'ne0'"
 
-@query("r_removed", "SELECT query_id, CAST(conjunctions AS BIGINT) AS conjunctions FROM (VALUES ('or0', 3), ('all', 1), ('elsewhere', 1), ('replaced', 2)) t(query_id, conjunctions)")
+
+@query("r_removed", _standing_sql("mixed") + f"SELECT qid AS query_id, count(*) AS conjunctions FROM c WHERE {_LEFT} GROUP BY qid UNION ALL SELECT 'replaced', 2")
 def r_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left after clients have gone, a query has been taken back and another one replaced."""
-    r = registry("mixed")
-    for i in range(40):
-        r.remove("main", f"c{i % 4}", f"eq{i}")
-    for i in range(12):
-        r.remove("main", f"c{i % 3}", f"rg{i}")
-    for i in range(5):
-        r.remove("main", f"c{i}", f"px{i}")
-    r.remove("main", "c1", "ne0")
+    """What is left of a durable registry after two clients have gone, queries have been taken back and one replaced.
+
+    It is read anew from its folder, as after a restart.
+    """
+    folder, kept = folders.fresh(spark, "registry"), registry("mixed")
+    r = DurableRegistry(spark, folder)
+    for (channel, client, qid), q in kept.entries.items():
+        r.add(channel, client, qid, q.text)
+    r.disconnect("c0")
+    r.disconnect("c3")
+    for channel, client, qid in list(r.entries):
+        if qid.startswith("rg") or qid == "ne0":
+            r.remove(channel, client, qid)
     r.add("main", "c7", "replaced", "a=1")
     r.add("main", "c7", "replaced", "a=2;b=3")
-    return r.standing(spark).groupBy("query_id").agg(F.count("*").alias("conjunctions"))
+    return DurableRegistry(spark, folder).standing(spark).groupBy("query_id").agg(F.count("*").alias("conjunctions"))
 
 
-@query("r_size", "SELECT CAST(63 AS BIGINT) AS size")
+@query("r_size", _standing_sql("mixed") + "SELECT count(*) AS size FROM c")
 def r_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.cardinality(registry("mixed").standing(spark))
 
 
+@query("t_meta_stream", "SELECT * FROM (VALUES ('watch', 'registration', 'q1'), ('watch', 'registration', 'q2'), ('watch', 'registration', 'w'), ('watch', 'removal', 'q1')) t(client_id, change, query_id)")
+def t_meta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a durable registry reach their watcher without other events, once, over a restart of the stream.
+
+    The client ``gone`` can't be reached, so its query is removed, which is told as well.
+    """
+    out, checkpoint, events = folders.fresh(spark, "out"), folders.fresh(spark, "stream"), folders.fresh(spark, "none")
+    r = DurableRegistry(spark, folders.fresh(spark, "registry"))
+    r.add("meta", "watch", "w", "")
+    r.add("meta", "gone", "q1", "type=never;../type=~\"riverbed.\"")
+    schema = "channel string, source string, id string, raw string, ingest_ts timestamp"
+    table(spark, sf_dir, "events").limit(0).select(*[F.lit(None).cast(f.split(" ")[1]).alias(f.split(" ")[0]) for f in schema.split(", ")]).write.parquet(events)
+
+    def sink(b: DataFrame, _: int) -> list[str]:
+        b.where("client_id = 'watch'").select("client_id", "raw").write.mode("append").parquet(out)
+        return [x["client_id"] for x in b.where("client_id = 'gone'").select("client_id").distinct().collect()]
+
+    for text in ("a=1", None):
+        if text:
+            r.add("main", "c", "q2", text)
+        e = dedupe.first_events_streaming(spark.readStream.schema(schema).parquet(events)).withColumn("event", F.parse_json("raw"))
+        pipeline.publish(e, r, sink, checkpoint).awaitTermination()
+    event = F.parse_json("raw")
+    get = lambda path: F.variant_get(event, f"$.{path}", "string")
+    return spark.read.schema("client_id string, raw string").parquet(out).select("client_id", F.substring_index(get("type"), ".", -1).alias("change"), get("data.queryID").alias("query_id"))
+
+
 _RAW = """concat('{"n":', user_id, chr(10), '}')"""
 
 
@@ -476,6 +555,46 @@ def k_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sse.body(F.lit("//events"), F.col("event_id").cast("string"), raw).alias("payload"))
 
 
+@query("k_session", f"""
+SELECT client_id, 0 AS place, concat('event: connect', chr(10), chr(10)) AS payload FROM (VALUES ('c0'), ('c1'), ('quiet')) t(client_id)
+UNION ALL SELECT 'c' || (event_id % 2), CAST(row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) AS INTEGER),
+  concat('event: data', chr(10), 'id: %2F%2Fevents+', event_id, chr(10), 'data: ', user_id, chr(10), chr(10)) FROM events
+""")
+def k_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each client's output: the connect event, then its frames in the events' order; a client without events is connected too."""
+    clients = spark.createDataFrame([("c0",), ("c1",), ("quiet",)], "client_id string")
+    found = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), F.col("event_id") % 2).alias("client_id"), "event_id", "user_id")
+    return sse.session(found, clients, ["event_id"], sse.body(F.lit("//events"), F.col("event_id").cast("string"), F.col("user_id").cast("string")))
+
+
+@query("k_ping", "SELECT 'u' || user_id AS client_id, concat('event: ping', chr(10), chr(10)) AS payload FROM events GROUP BY user_id HAVING epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) >= 30000000")
+def k_ping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients without output for half a minute before the last event."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("client_id"), F.col("ts").cast("timestamp").alias("sent_ts"))
+    now = e.agg(F.max("sent_ts").alias("now__"))
+    return sse.pings(e, F.lit(now.first()["now__"]))
+
+
+@query("k_metrics", "SELECT 'events_total' AS name, CAST(count(*) AS DOUBLE) AS value FROM events UNION ALL SELECT 'active_queries', 63.0")
+def k_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauges of a finished stream, read back from their Prometheus text."""
+    gauges = pipeline.Gauges(registry("mixed"))
+    spark.streams.addListener(gauges)
+    try:
+        e = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+        _run_stream(spark, e.select("event_id"), lambda b, _: b.write.format("noop").mode("overwrite").save())
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+        for _ in range(100):  # progress comes to Python by a channel of its own
+            if gauges.rows:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(gauges)
+    lines = spark.createDataFrame([(x,) for x in gauges.text().splitlines()], "line string").where("line NOT LIKE '#%'")
+    name, value = F.regexp_extract("line", r"^riverbed_(\S+) (\S+)$", 1), F.regexp_extract("line", r"^riverbed_(\S+) (\S+)$", 2)
+    return lines.select(name.alias("name"), value.cast("double").alias("value")).where("name IN ('events_total', 'active_queries')")
+
+
 _PATHS = (
     ("source", "string", "'//events'", None), ("id", "string", "CAST(event_id AS VARCHAR)", None), ("type", "string", "event_type", None),
     ("specversion", "string", "'1.0'", None), ("data/user_id", "number", None, "user_id"), ("data/value", "number", None, "value"), ("data/props/k", "number", None, _K),
@@ -493,6 +612,41 @@ def x_flatten_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flatten_paths(events(spark, sf_dir), ["event_id"], [("type",), ("data", "props", "k"), ("data", "gone")]).select("event_id", "path", "tag", "str", "num")
 
 
+@query("x_flatten_deep", """
+SELECT s_suppkey, rtrim(repeat('0/', n), '/') AS path, CASE WHEN n = 30 THEN 'number' ELSE 'array' END AS tag, CASE WHEN n = 30 THEN CAST(s_nationkey AS DOUBLE) END AS num
+FROM supplier, (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS n)
+""")
+def x_flatten_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty levels of arrays, more than one plan descends."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.parse_json(F.concat(F.lit("[" * 30), F.col("s_nationkey").cast("string"), F.lit("]" * 30))).alias("event"))
+    return fl.flatten(s, ["s_suppkey"]).select("s_suppkey", "path", "tag", "num")
+
+
+@query("x_compare_tags", "SELECT event_id, event_id % 4 = user_id % 4 AS same FROM events")
+def x_compare_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scalars of one of four types each."""
+    def some(c: Column) -> Column:
+        m = c % 4
+        tag = F.when(m == 0, "null").when(m == 1, "bool").when(m == 2, "number").otherwise("string")
+        return F.struct(tag.alias("tag"), F.when(m == 2, c.cast("double")).alias("num"), F.when(m == 3, c.cast("string")).alias("str"), F.when(m == 1, F.lit(True)).alias("bool"))
+
+    return table(spark, sf_dir, "events").select("event_id", fl.compare_tags(some(F.col("event_id")), some(F.col("user_id"))).alias("same"))
+
+
+@query("x_radix64", "SELECT p_partkey, p_brand AS back, translate(rtrim(to_base64(encode(p_brand)), '='), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', '-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz') AS coded, rank() OVER (ORDER BY encode(p_brand)) AS place FROM part")
+def x_radix64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes as text that sorts alike, and back."""
+    p = table(spark, sf_dir, "part").select("p_partkey", fl.radix64(F.encode("p_brand", "UTF-8")).alias("coded"))
+    places = p.groupBy("coded").count().select("coded", (F.sum("count").over(Window.orderBy("coded")) - F.col("count") + 1).alias("place"))  # a row for each brand
+    return p.join(places, "coded").select("p_partkey", F.decode(fl.from_radix64(F.col("coded")), "UTF-8").alias("back"), "coded", "place")
+
+
+@query("x_long_bytes", "SELECT o_orderkey, o_orderkey - 5000 AS back, printf('%016X', o_orderkey - 5000) AS bytes FROM orders")
+def x_long_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = fl.long_bytes(F.col("o_orderkey") - 5000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", fl.long_of(b).alias("back"), F.hex(b).alias("bytes"))
+
+
 @query("x_utf8_prefix", """
 WITH c AS (SELECT doc_id, unnest(range(0, 13)) AS n, text FROM documents)
 SELECT doc_id, substr(text, 1, CAST(max(n) AS BIGINT)) AS head FROM c WHERE strlen(substr(text, 1, n)) <= 12 GROUP BY doc_id, text
@@ -523,33 +677,83 @@ def x_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(envelope.channel_name(F.col("coded")) == F.col("name")).select("p_partkey", "coded")
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of all modes out of the events table, some of them wrong in each way."""
-    e = table(spark, sf_dir, "events").withColumn("m", F.col("event_id") % 6)
-    data = F.to_json(F.struct("user_id", "value"))
-    whole = F.to_json(F.struct(F.lit("//events").alias("source"), F.col("event_id").cast("string").alias("id"), F.struct("user_id", "value").alias("data")))
-    kind = F.when(F.col("m").isin(0, 4), envelope.HEADER).when(F.col("m").isin(1, 3), envelope.STRUCTURED + "; charset=utf-8").when(F.col("m") == 2, envelope.BATCH).otherwise("text/plain")
-    body = F.when(F.col("m").isin(0, 4), data).when(F.col("m") == 1, whole).when(F.col("m") == 2, F.concat(F.lit("["), whole, F.lit(","), F.when(F.col("user_id") % 2 == 0, whole).otherwise('{"source":"a","id":1,"data":{}}'), F.lit("]"))).when(F.col("m") == 3, '{"source":"s","id":"i","data":[1]}').otherwise("x")
-    headers = F.when(F.col("m") == 0, F.create_map(F.lit("CE-Source"), F.lit("//events"), F.lit("ce-id"), F.col("event_id").cast("string"))).otherwise(F.create_map(F.lit("ce-source"), F.lit("//events")))
-    return e.select("event_id", F.lit("main").alias("channel"), kind.alias("content_type"), headers.alias("headers"), body.alias("body"))
+#: What is wrong with each of the requests below, by event_id modulo their number, and the status; 0 to 2 are fine.
+WRONG = (
+    (None, 202), (None, 202), (None, 202), ("invalid-data-field", 400), ("missing-event-id", 400), ("invalid-content-type", 400), ("missing-event-source", 400), ("conflicting-data-type-headers", 400),
+    ("missing-content-type", 400), ("invalid-channel", 400), ("disallowed-meta-channel-send", 403), ("invalid-json-body", 400), ("invalid-json-body", 400), ("body-too-large", 413), ("partial-content", 400),
+    ("missing-content-length", 400), ("invalid-content-length", 400), ("body-timeout", 408), ("missing-event-source", 400), ("missing-event-id", 400),
+)
 
 
-@query("s_ingest", """
-SELECT event_id, CAST(-1 AS INTEGER) AS "offset", CASE event_id % 6 WHEN 3 THEN 'invalid-data-field' WHEN 4 THEN 'missing-event-id' WHEN 5 THEN 'invalid-content-type' END AS code,
-  CASE WHEN event_id % 6 IN (0, 1) THEN 202 ELSE 400 END AS status FROM events WHERE event_id % 6 <> 2
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all modes out of the events table, some of them wrong in each way that there is."""
+    e = table(spark, sf_dir, "events").withColumn("m", F.col("event_id") % len(WRONG))
+    m, eid = F.col("m"), F.col("event_id").cast("string")
+    data = F.to_json(F.struct("user_id", "value"))
+    fields = lambda **c: F.to_json(F.struct(*[v.alias(k) for k, v in c.items()]))
+    inner = F.struct("user_id", "value")
+    whole = fields(source=F.lit("//events"), id=eid, data=inner)
+    odd = F.when(F.col("user_id") % 2 == 0, whole).otherwise('{"source":"a","id":1,"data":{}}')
+    structured = m.isin(1, 3, 12, 18, 19)
+    kind = F.when(m == 8, None).when(m == 5, "text/plain").when(m == 2, envelope.BATCH).when(structured, envelope.STRUCTURED + "; charset=utf-8").otherwise(envelope.HEADER)
+    body = (
+        F.when(m == 1, whole).when(m == 2, F.concat(F.lit("["), whole, F.lit(","), odd, F.lit("]"))).when(m == 3, '{"source":"s","id":"i","data":[1]}').when(m == 11, F.concat(data, F.lit("}")))
+        .when(m == 12, F.concat(F.lit("["), whole, F.lit("]"))).when(m == 13, F.concat(F.lit('{"x":"'), F.repeat(F.lit("y"), 400), F.lit('"}')))
+        .when(m == 18, fields(source=F.lit(None).cast("string"), id=eid, data=inner)).when(m == 19, fields(source=F.lit("s"), id=F.col("event_id"), data=inner)).otherwise(data)
+    )
+    length = F.when(m == 14, F.octet_length(body) + 1).otherwise(F.octet_length(body)).cast("string")
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    headers = F.array_compact(F.array(
+        F.when(m != 15, pair("Content-Length", F.when(m == 16, F.lit("12 bytes")).otherwise(length))),
+        F.when(~structured & (m != 6), pair("CE-Source", F.lit("//events"))), F.when(m == 0, pair("ce-source", F.lit("another"))),
+        F.when(~structured & ~m.isin(4, 6), pair("ce-id", eid)), F.when(m == 7, pair("ce-datacontenttype", F.lit("text/xml"))),
+    ))
+    channel = F.when(m == 9, "").when(m == 10, "meta").otherwise("main")
+    return e.select("event_id", channel.alias("channel"), kind.alias("content_type"), F.map_from_entries(headers).alias("headers"), body.alias("body"), (m == 17).alias("late"))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return envelope.judged(requests(spark, sf_dir), max_body=300, counted=True, timed_out=F.col("late"))
+
+
+_WRONG_SQL = "(VALUES " + ", ".join(f"({i}, {repr(c) if c else 'NULL'}, {st})" for i, (c, st) in enumerate(WRONG)) + ") w(m, code, status)"
+
+
+@query("s_ingest", f"""
+SELECT event_id, CAST(-1 AS INTEGER) AS "offset", code, status FROM events JOIN {_WRONG_SQL} ON event_id % {len(WRONG)} = m WHERE m <> 2
 UNION ALL SELECT event_id, o, CASE WHEN user_id % 2 = 0 THEN NULL WHEN o = 0 THEN 'batch-refused' ELSE 'missing-event-id' END, CASE WHEN user_id % 2 = 0 THEN 202 ELSE 400 END
-FROM events, (VALUES (0), (1)) t(o) WHERE event_id % 6 = 2
+FROM events, (VALUES (0), (1)) t(o) WHERE event_id % {len(WRONG)} = 2
 """)
 def s_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return envelope.judged(requests(spark, sf_dir)).select("event_id", F.coalesce("offset", F.lit(-1)).alias("offset"), "code", "status")
+    return _judged(spark, sf_dir).select("event_id", F.coalesce("offset", F.lit(-1)).alias("offset"), "code", "status")
+
+
+@query("s_responses", f"""
+SELECT event_id, CASE WHEN m = 2 AND user_id % 2 = 1 THEN 400 ELSE status END AS status,
+  '{{"code":"' || CASE WHEN m = 2 AND user_id % 2 = 1 THEN 'missing-event-id' ELSE coalesce(code, 'accepted') END || '"}}' AS body
+FROM events JOIN {_WRONG_SQL} ON event_id % {len(WRONG)} = m
+""")
+def s_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to each request."""
+    return envelope.responses(_judged(spark, sf_dir), ["event_id"])
+
+
+@query("s_admission", """
+WITH o AS (SELECT event_id, event_type, 1 + user_id % 3 AS n, coalesce(sum(1 + user_id % 3) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM events)
+SELECT event_id, CASE WHEN ahead >= 150 THEN 'exceeded-outstanding-event-limit' END AS code, CASE WHEN ahead >= 150 THEN 429 ELSE 202 END AS status FROM o
+""")
+def s_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of one to three events; each channel takes them until 150 are under way."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("channel"), (1 + F.col("user_id") % 3).alias("n"))
+    return envelope.admission(e, "event_id", F.col("n"), 150).select("event_id", "code", "status")
 
 
 @query("s_accepted", """
-SELECT event_id, '//events' AS source, CAST(event_id AS VARCHAR) AS id, user_id FROM events WHERE event_id % 6 IN (0, 1)
-UNION ALL SELECT event_id, '//events', CAST(event_id AS VARCHAR), user_id FROM events, (VALUES (0), (1)) t(o) WHERE event_id % 6 = 2 AND user_id % 2 = 0
+SELECT event_id, '//events' AS source, CAST(event_id AS VARCHAR) AS id, user_id FROM events WHERE event_id % 20 IN (0, 1)
+UNION ALL SELECT event_id, '//events', CAST(event_id AS VARCHAR), user_id FROM events, (VALUES (0), (1)) t(o) WHERE event_id % 20 = 2 AND user_id % 2 = 0
 """)
 def s_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = envelope.accepted(envelope.judged(requests(spark, sf_dir)))
+    good = envelope.accepted(_judged(spark, sf_dir))
     return good.select("event_id", "source", "id", F.variant_get("event", "$.data.user_id", "bigint").alias("user_id"))
 
 

@@ -35,6 +35,11 @@ def keys(df: DataFrame, key: Name) -> DataFrame:
     return df.select(key)
 
 
+def entries(df: DataFrame, *columns: Name) -> DataFrame:
+    """Every entry once, in no order: a plain scan of the columns."""
+    return df.select(*columns)
+
+
 def get(df: DataFrame, key: Name, value: object) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 

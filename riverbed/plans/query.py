@@ -122,7 +122,9 @@ def parse_conjunction(text: str, max_terms: int = MAX_TERMS, max_value_bytes: in
                 equal[path] = Literal("string", "")
                 ineq = None if ineq and ineq.path == path else ineq
                 continue
-            lit = parse_literal(value[len(op) :], key, max_value_bytes)
+            # The bytes of the path count against the budget too.
+            left = None if max_value_bytes is None else max_value_bytes - sum(len(s.encode()) for s in path)
+            lit = parse_literal(value[len(op) :], key, left)
             if op in ("<", "<=", ">", ">="):
                 if used is not None:
                     other = ">" if op[0] == "<" else "<"

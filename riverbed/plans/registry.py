@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import QueryError
 from .paths import Path, path_text
@@ -48,24 +51,32 @@ class Registry:
     log: list[dict] = field(default_factory=list)
 
     def add(self, channel: str, client_id: str, query_id: str, text: str) -> Query:
-        """Registers or replaces; the change is on the meta channel."""
+        """Registers or replaces; the change is on the meta channel before it counts."""
         if not channel:
             raise QueryError("invalid-channel")
         query = parse(text, self.max_terms, self.max_value_bytes)
-        self.entries[channel, client_id, query_id] = query
         self._tell("registration", channel, client_id, query_id, text)
+        self.entries[channel, client_id, query_id] = query
         return query
 
     def remove(self, channel: str, client_id: str, query_id: str | None = None) -> int:
         """Removes one query, or all of a client's; how many there were."""
         gone = [k for k in self.entries if k[:2] == (channel, client_id) and query_id in (None, k[2])]
         for k in gone:
-            self._tell("removal", *k, self.entries.pop(k).text)
+            self._tell("removal", *k, self.entries[k].text)
+            del self.entries[k]
         return len(gone)
 
+    def disconnect(self, client_id: str) -> int:
+        """Removes all queries of a client that has gone, on every channel."""
+        return sum(self.remove(channel, client_id) for channel in {k[0] for k in self.entries if k[1] == client_id})
+
     def _tell(self, what: str, channel: str, client_id: str, query_id: str, text: str) -> None:
         n = len(self.log)
-        self.log.append({"source": self.source, "id": f"{query_id}-{n}", "specversion": "1.0", "type": f"riverbed.query.{what}", "data": {"channel": channel, "clientID": client_id, "queryID": query_id, "query": text}})
+        self._keep({"source": self.source, "id": f"{query_id}-{n}", "specversion": "1.0", "type": f"riverbed.query.{what}", "data": {"channel": channel, "clientID": client_id, "queryID": query_id, "query": text}})
+
+    def _keep(self, change: dict) -> None:
+        self.log.append(change)
 
     def meta_events(self, spark: SparkSession, since: int = 0) -> DataFrame:
         """(channel, value) rows of the changes after ``since``, to be united with the events of other channels."""
@@ -128,3 +139,71 @@ class Registry:
     def standing(self, spark: SparkSession) -> DataFrame:
         """The registry as a table, one row for each conjunction."""
         return spark.createDataFrame(self.rows(), STANDING)
+
+
+class DurableRegistry(Registry):
+    """A registry whose changes are files of a shared folder, one for each: what is registered outlives the process.
+
+    A change counts once its file is there. The folder is a stream of the meta channel's events, so watchers hear of changes
+    whether other events come or not, and each of them once, as the stream's checkpoint says. One process changes a folder
+    at a time; others see its changes with :meth:`refresh`.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, attempts: int = 5, wait: float = 0.05, **options):
+        super().__init__(**options)
+        self.spark, self.folder, self.attempts, self.wait = spark, folder.rstrip("/"), attempts, wait
+        self.refresh()
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        fs.mkdirs(path)
+        return fs
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def refresh(self) -> int:
+        """Takes in changes that aren't known yet, in their order; how many there were."""
+        fs, had = self._fs(), len(self.log)
+        while fs.exists(self._path(f"{len(self.log):012d}.json")):
+            stream = fs.open(self._path(f"{len(self.log):012d}.json"))
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            change = json.loads(text)
+            self.log.append(change)
+            d = change["data"]
+            key = (d["channel"], d["clientID"], d["queryID"])
+            if change["type"].endswith(".removal"):
+                self.entries.pop(key, None)
+            else:
+                self.entries[key] = parse(d["query"], self.max_terms, self.max_value_bytes)
+        return len(self.log) - had
+
+    def _keep(self, change: dict) -> None:
+        for attempt in range(self.attempts):
+            try:
+                self._write(f"{len(self.log):012d}.json", json.dumps(change))
+                break
+            except OSError:
+                if attempt + 1 == self.attempts:
+                    raise
+                time.sleep(self.wait * (attempt + 1) ** 2)
+        super()._keep(change)
+
+    def _write(self, name: str, text: str) -> None:
+        """Under another name first, so nobody reads half a change."""
+        fs, tmp = self._fs(), self._path(f"_{uuid.uuid4().hex}")
+        if fs.exists(self._path(name)):
+            raise OSError(f"{name} is another process's change; refresh first")
+        out = fs.create(tmp)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(tmp, self._path(name)):
+            raise OSError(f"{name} can't be written")
+
+    def changes(self) -> DataFrame:
+        """The folder as a stream of (channel, source, id, raw, event)."""
+        lines = self.spark.readStream.schema("value string").option("pathGlobFilter", "*.json").text(self.folder)
+        event = F.parse_json("value")
+        return lines.select(F.lit(META).alias("channel"), F.variant_get(event, "$.source", "string").alias("source"), F.variant_get(event, "$.id", "string").alias("id"), F.col("value").alias("raw"), event.alias("event"))

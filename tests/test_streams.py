@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from riverbed import Registry
+from riverbed.plans.registry import DurableRegistry
 from riverbed.operators import dedupe
 from riverbed.streaming import folders, pipeline
 
@@ -73,7 +75,57 @@ def test_many_queries_take_the_join(spark):
 
 def test_gauges():
     g = pipeline.Gauges(Registry())
-    assert "riverbed_active_queries 0" in g.text() and g.text().count("# TYPE") == 4
+    assert "riverbed_active_queries 0" in g.text() and g.text().count("# TYPE") == 5
+
+
+def test_the_first_row_of_a_key_stays(spark):
+    """By time, and by place in the request where times tie; no time is the earliest; columns of any kind come along."""
+    rows = [("m", "s", "1", "late", 9, 0), ("m", "s", "1", "early", 3, 5), ("m", "s", "1", "same", 3, 7), ("m", "s", "2", "only", 4, None), ("m", None, "3", "x", 8, 1), ("m", None, "3", "none", None, 2)]
+    df = spark.createDataFrame(rows, "channel string, source string, id string, what string, t int, offset int").withColumn("ingest_ts", F.timestamp_seconds("t")).withColumn("event", F.parse_json(F.lit('{"a":[1]}')))
+    for parts in (1, 6):
+        out = dedupe.first_events(df.repartition(parts, "what"))
+        assert out.columns == df.columns and sorted(r["what"] for r in out.collect()) == ["early", "none", "only"]
+
+
+def test_a_durable_registry(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/r"
+    r = DurableRegistry(spark, folder, wait=0)
+    r.add("main", "c1", "q1", "a=1")
+    r.add("main", "c1", "q2", "b=~é")
+    r.remove("main", "c1", "q1")
+    other = DurableRegistry(spark, folder, wait=0)
+    assert other.entries == r.entries and [x["type"] for x in other.log] == [x["type"] for x in r.log]
+    other.add("side", "c2", "q", "")
+    with pytest.raises(OSError):  # someone else has written since
+        r.add("main", "c1", "q3", "a=3")
+    assert ("main", "c1", "q3") not in r.entries
+    assert r.refresh() == 1 and r.refresh() == 0 and r.entries == other.entries
+    r.add("main", "c1", "q3", "a=3")
+    calls = []
+    write = DurableRegistry._write
+
+    def shaky(self, name, text):
+        calls.append(name)
+        if len(calls) < 3:
+            raise OSError("not now")
+        write(self, name, text)
+
+    monkeypatch.setattr(DurableRegistry, "_write", shaky)
+    assert r.disconnect("c2") == 1 and len(calls) == 3 and DurableRegistry(spark, folder).entries == r.entries
+
+
+def test_unreachable_clients_are_unregistered(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(request(1, a=1) + "\n")
+    r = Registry()
+    for c in ("here", "away"):
+        r.add("main", c, "q", "a=1")
+        r.add("side", c, "q", "a=2")
+    stream = pipeline.ingest(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")))
+    q = pipeline.publish(stream, r, lambda df, n: {x["client_id"] for x in df.collect()} - {"here"}, str(tmp_path / "cp"))
+    assert q.awaitTermination(120) and {k[1] for k in r.entries} == {"here"}
+    pipeline.stop(q, r, ["here"])
+    assert not r.entries and not q.isActive
 
 
 def test_folders_come_from_the_session(spark):
