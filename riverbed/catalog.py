@@ -455,6 +455,17 @@ def t_stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("user_id long").parquet(out).where("user_id >= 0").groupBy("user_id").agg(F.count("*").alias("told"))
 
 
+@query("t_stream_capacity", "SELECT event_id, user_id FROM (SELECT event_id, user_id, lag(user_id) OVER (ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM user_id")
+def t_stream_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With room for one key, an event is new unless the one before it had the same."""
+    out = folders.fresh(spark, "out")
+    e = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    e = e.select("event_id", "user_id", F.timestamp_seconds("event_id").alias("ingest_ts"))
+    new = dedupe.first_events_bounded(e, ttl_seconds=1e9, capacity=1, parts=1, key=["user_id"])
+    _run_stream(spark, new, lambda b, _: b.select("event_id", "user_id").write.mode("append").parquet(out))
+    return spark.read.schema("event_id long, user_id long").parquet(out)
+
+
 @query("t_stream_fanout", f"SELECT CAST(event_id AS VARCHAR) AS id, client_id, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS query_ids FROM ({_registry_sql('mixed')}) GROUP BY event_id, client_id")
 def t_stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folders.fresh(spark, "out")

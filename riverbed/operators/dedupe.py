@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KEY = ["channel", "source", "id"]
 TTL = "180 seconds"
+#: Keys that are remembered at most, and parts that they are dealt over.
+CAPACITY, PARTS = 1 << 20, 64
 
 
 def first_events(df: DataFrame, key: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
@@ -48,3 +56,52 @@ def first_events_within(df: DataFrame, ttl_seconds: float = 180, key: list[str]
 def first_events_streaming(df: DataFrame, ttl: str = TTL, key: list[str] | None = None, ts: str = "ingest_ts") -> DataFrame:
     """The same for a stream; state is dropped once the watermark has passed the lifetime."""
     return df.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(key or KEY)
+
+
+class Remembered:
+    """Keys of one part with the time at which each is forgotten, as two arrays; the oldest goes when there is no room."""
+
+    def __init__(self, keys: bytes, until: bytes, capacity: int):
+        names = np.frombuffer(keys, "S16")
+        self.until = dict(zip(names.tolist(), np.frombuffer(until, np.int64).tolist(), strict=True))
+        self.capacity = capacity
+
+    def accepts(self, key: bytes, at: int, ttl: int) -> bool:
+        """Whether an event of this key at this time is new; it is remembered then. Times don't fall."""
+        if self.until.get(key, at) > at:
+            return False
+        # Accepted keys are put at the end and lifetimes are equal, so the first to be forgotten stand in front.
+        self.until.pop(key, None)
+        while self.until and (len(self.until) >= self.capacity or next(iter(self.until.values())) <= at):
+            del self.until[next(iter(self.until))]
+        self.until[key] = at + ttl
+        return True
+
+    def state(self) -> tuple[bytes, bytes]:
+        return np.array(list(self.until), "S16").tobytes(), np.array(list(self.until.values()), np.int64).tobytes()
+
+
+def first_events_bounded(df: DataFrame, ttl_seconds: float = 180, capacity: int = CAPACITY, parts: int = PARTS, key: list[str] | None = None, ts: str = "ingest_ts") -> DataFrame:
+    """A stream's first events, with a lifetime that is exact to the event and a bound on the keys that are remembered.
+
+    Keys are dealt by hash over ``parts``, each of which remembers ``capacity / parts`` of them; a part without room forgets
+    the key that would be forgotten first. Within a batch, a part's events are taken in the order of their times, NULL first;
+    an event that comes late is judged as if it came at the time of the latest before it. No column may be a VARIANT.
+    """
+    key = key or KEY
+    size, ttl, columns = max(1, capacity // parts), int(ttl_seconds * 1_000_000), df.columns
+    parted = df.withColumn("part__", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).withColumn("at__", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2**62))))
+
+    def judge(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = Remembered(*((bytes(x) for x in state.get[:2]) if state.exists else (b"", b"")), size)
+        now = state.get[2] if state.exists else -(2**62)
+        rows = pd.concat(list(batches)).sort_values("at__", kind="stable")
+        names = [hashlib.blake2b(repr(k).encode(), digest_size=15).digest() + b"k" for k in rows[key].itertuples(index=False, name=None)]
+        new = []
+        for name, at in zip(names, rows["at__"].tolist(), strict=True):
+            now = max(now, at)
+            new.append(held.accepts(name, now, ttl))
+        state.update((*held.state(), now))
+        yield rows[new][columns]
+
+    return parted.groupBy("part__").applyInPandasWithState(judge, df.schema, "keys binary, until binary, now long", "append", GroupStateTimeout.NoTimeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -87,6 +88,43 @@ def test_the_first_row_of_a_key_stays(spark):
         assert out.columns == df.columns and sorted(r["what"] for r in out.collect()) == ["early", "none", "only"]
 
 
+@pytest.mark.parametrize("capacity,parts", [(1 << 20, 8), (6, 2), (3, 1)])
+def test_bounded_dedupe(spark, tmp_path, capacity, parts):
+    """Against a plain replay of each part: lifetimes to the event, and the oldest key forgotten where there is no room."""
+    rng = random.Random(capacity)
+    (tmp_path / "in").mkdir()
+    rows, t = [], 0.0
+    for f in range(3):
+        lines = []
+        for _ in range(120):
+            t += rng.choice([0.25, 0.5, 3, 20])
+            key = (rng.choice("ab"), rng.choice([None, *"wxyz"]))
+            rows.append((f, *key, t))
+            lines.append(json.dumps({"n": len(rows) - 1, "source": key[0], "id": key[1], "ingest_ts": t}))
+        rng.shuffle(lines)
+        (tmp_path / "in" / f"{f}.json").write_text("\n".join(sorted(lines, key=lambda x: json.loads(x)["ingest_ts"])) + "\n")
+        os.utime(tmp_path / "in" / f"{f}.json", (f + 1, f + 1))
+    schema = "n int, source string, id string, ingest_ts double"
+    part = {r["n"]: r["p"] for r in spark.read.schema(schema).json(str(tmp_path / "in")).select("n", F.pmod(F.xxhash64("source", "id"), F.lit(parts)).alias("p")).collect()}
+    want, held = set(), {p: {} for p in range(parts)}
+    for n, (_, source, id_, t) in enumerate(rows):
+        h = held[part[n]]
+        if h.get((source, id_), t) > t:
+            continue
+        want.add((source, id_, t))
+        h.pop((source, id_), None)
+        for k in [k for k, until in h.items() if until <= t]:
+            del h[k]
+        if len(h) >= max(1, capacity // parts):
+            del h[min(h, key=lambda k: h[k])]
+        h[source, id_] = t + 60
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("ingest_ts", F.timestamp_seconds("ingest_ts"))
+    got = []
+    q = dedupe.first_events_bounded(stream, 60, capacity, parts, key=["source", "id"]).writeStream.foreachBatch(lambda b, _: got.extend((r["source"], r["id"], r["t"]) for r in b.withColumn("t", F.col("ingest_ts").cast("double")).collect()))
+    assert q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(200)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows)
+
+
 def test_a_durable_registry(spark, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}/r"
     r = DurableRegistry(spark, folder, wait=0)
