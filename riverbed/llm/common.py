@@ -114,6 +114,14 @@ class Scratch:
         if collect:
             self.collect()
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """A saved table, all others of this scratch deleted: nothing reads them once it is written."""
+        for other in list(getattr(self, "_keep", [])):
+            if other is not df:
+                self.drop(other, collect=False)
+        self.collect()
+        return df
+
     def collect(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()

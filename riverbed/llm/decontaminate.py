@@ -15,8 +15,9 @@ from .native import ascii_lower, let, word_list
 
 #: Words of a k-gram; a window of 13 words has 13 - GRAM + 1 = 8 of them.
 GRAM = 6
-#: Fingerprints of the benchmark that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Fingerprints of the benchmark that are broadcast at most, and bytes of the items' words beside them; more are joined by a
+#: shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def _word_hashes(w: Column) -> Column:
@@ -86,7 +87,8 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
     bench = scratch.save(_bench(benchmark, item_col, item_text, window, gram))
     lengths = sorted(r[0] for r in bench.where(F.col("len") < window).select("len").distinct().collect())  # under `window` values
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    few = bench.count() <= BROADCAST_ROWS
+    n_prints, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("iw", "")) + 24 * F.size("iw") + 64), F.lit(0))).first()
+    few = n_prints <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     if not few:
         base = scratch.save(base)
     base = base.select("rid", "id", word_list(F.col("text")).alias("w"))

@@ -386,7 +386,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     # A row is a block of text, and a batch is one row, until the scores are written.
     with settings(spark, {BATCH: 1}):
         scratch = Scratch(spark, "lm")
-        return scratch.save(_scores(spark, scratch, docs, id_col, text_col, core, classes))
+        return scratch.only(scratch.save(_scores(spark, scratch, docs, id_col, text_col, core, classes)))
 
 
 def _scores(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, core: int, classes: int) -> DataFrame:

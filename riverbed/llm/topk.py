@@ -124,12 +124,14 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
         c = scratch.save(_blocks(whole(vectors), CANDIDATES))
         q = scratch.save(_blocks(whole(queries).groupBy("id").agg(F.min("v").alias("v")).coalesce(parts), QUERIES))
     with settings(spark, {BATCH: 1}):  # a row is a block
-        return scratch.save(_best(c, q, k))
+        return scratch.only(scratch.save(_best(c, q, k)))
 
 
 def _best(c: DataFrame, q: DataFrame, k: int) -> DataFrame:
     """The k best of each query over candidate blocks ``c`` and query blocks ``q`` (block, dims, ids, vectors)."""
-    c_salts, q_salts = max(1, -(-c.count() // MEET_CANDIDATES)), max(1, -(-q.count() // MEET_QUERIES))
+    cs, qs = c.count(), q.count()
+    # As many groups as tasks can run, while blocks are few.
+    c_salts, q_salts = max(1, -(-cs // MEET_CANDIDATES), min(cs, c.sparkSession.sparkContext.defaultParallelism)), max(1, -(-qs // MEET_QUERIES))
     salt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = c.withColumn("x", salt(c_salts)).withColumn("y", every(q_salts)).drop("block")

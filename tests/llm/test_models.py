@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from riverbed.llm import catalog, codec, common, lm, packing, toxicity, units
+from riverbed.llm import catalog, codec, common, lm, packing, rolling, toxicity, units
 from support import ORACLE, SMALL
 
 WORDS_FILE, BYTES_FILE = catalog.tokenizer("word_bpe_49k.json"), catalog.tokenizer("byte_bpe_50k.json")
@@ -317,6 +319,43 @@ def test_probabilities_sum_to_one():
         assert np.isclose((10**last).sum(), 1), context
 
 
+def test_scores_against_a_plain_class_model():
+    """Transitions with a pull to the classes' shares, emissions less a discount, and what that leaves for unseen words."""
+    rng = random.Random(12)
+    words, classes, end = list(range(7)), [0, 0, 0, 1, 1, 2, -1], 2  # word 5 is the end of a text, 6 unseen in training
+    texts = [[rng.choice(words[:5]) for _ in range(rng.randrange(6))] + [5] for _ in range(30)]
+    count, moves = Counter(w for t in texts for w in t), Counter()
+    for t in texts:
+        for a, b in zip([5, *t], t, strict=False):
+            moves[classes[a], classes[b]] += 1
+    share = lambda c: (sum(moves[x, c] for x in range(3)) + 0.5) / (sum(moves.values()) + 1.5)
+    step = lambda a, b: (moves[a, b] + lm.PULL * share(b)) / (sum(moves[a, x] for x in range(3)) + lm.PULL)
+    own = lambda c: [count[w] for w in words if classes[w] == c and count[w]]
+    once, twice = (lambda c: own(c).count(1)), (lambda c: own(c).count(2))
+    cut = lambda c: 0 if c == end else min(0.9, max(0.1, (once(c) + 0.5) / (once(c) + 2 * twice(c) + 1)))
+    spare = lambda c: 0 if c == end else cut(c) * len(own(c)) / sum(own(c))
+
+    def plain(text):
+        at, total = end, 0.0
+        for w in text:
+            c = classes[w]
+            if c < 0:
+                total += math.log10(sum(step(at, x) * spare(x) for x in range(3)))
+                c = max(range(3), key=lambda x, at=at: step(at, x) * spare(x))
+            else:
+                total += math.log10(step(at, c)) + math.log10((count[w] - cut(c)) / sum(own(c)))
+            at = c
+        return total
+
+    kinds = [{"cls": c, "total": sum(own(c)), "types": len(own(c)), "once": once(c), "twice": twice(c)} for c in range(3)]
+    model = lm._model(np.array([[moves[a, b] for b in range(3)] for a in range(3)], float), kinds)
+    asked = [[rng.choice([0, 1, 2, 3, 4, 6]) for _ in range(rng.randrange(9))] + [5] for _ in range(200)]
+    off = np.cumsum([0, *map(len, asked)])
+    b = lm.Block(np.ones(len(asked), bool), off, np.array([w for t in asked for w in t], np.int32), np.arange(7, dtype=np.uint64), np.array([count[w] for w in words]))
+    got = np.add.reduceat(model.score(b, np.array([count[w] for w in words]), np.array(classes)), off[:-1])
+    assert np.allclose(got, [plain(t) for t in asked])
+
+
 def test_exchange_finds_classes():
     """Words that alternate by kind fall into their kinds."""
     n = 12
@@ -368,6 +407,34 @@ def test_offending_sentence_is_located():
     assert test[at[0] :].lstrip().startswith("you grobble")
 
 
+def test_scores_against_plain_sentences():
+    """A text is cut at sentence ends, a sentence adds up its words and their first letters, and any of them may be toxic."""
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}" for a in ("bad", "fine", "grim", "é") for b in ("", "ly", "ness", "ish 7")]
+    say = lambda: "".join(rng.choice(vocabulary).title() + rng.choice([" ", ", ", ". ", "! ", "\n", "|", "-"]) for _ in range(rng.randrange(12)))
+    texts = [say() for _ in range(300)] + ["", " ", "...", "word"]
+    model = toxicity.fit(texts[:250], [int("Bad" in t) for t in texts[:250]])
+    assert len(model.used)
+
+    def feature(piece: bytes, k: int) -> int:
+        h = rolling.spans(rolling.prefix(np.frombuffer(piece, np.uint8)), np.array([0]), np.array([len(piece)])) + np.uint64(k << 44)
+        return int(h[0] >> np.uint64(64 - toxicity.BITS))
+
+    def plain(text: str) -> float:
+        clean = 1.0
+        sentences = [s for s in re.split(rb"[.!?\n|]", text.encode()) if re.search(rb"[0-9A-Za-z\x80-\xff]", s)] or [b""]
+        for s in sentences:
+            z = model.bias
+            for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", s.lower()):
+                z += sum(float(model.weights[feature(w[:k] if k else w, k)]) for k in (0, *(k for k in toxicity.PREFIXES if len(w) > k)))
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    data = [t.encode() for t in texts]
+    got, _ = model.score(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-6)
+
+
 def test_noisy_or():
     none, p = toxicity.noisy_or(np.array([0.0, 0.0, -30.0]), np.array([0, 0, 1]), 3)
     assert np.allclose(1 - np.exp(none), [0.75, 0, 0]) and np.allclose(p[:2], 0.5)
