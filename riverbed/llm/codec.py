@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import units
-from .common import Scratch, binary, slices, text_buffer, tune
+from .common import Scratch, binary, slices, text_buffer, tidy, tune
 
 #: Tokens in a record, about; a record has whole documents.
 RECORD = 1_000_000
@@ -97,7 +97,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, drops
         if held:
             yield flush()
 
-    rows = ordered.mapInArrow(run, "part int, before long, docs array<struct<id:long,at:long,n:long>>, flat binary")
+    rows = ordered.mapInArrow(tidy(run), "part int, before long, docs array<struct<id:long,at:long,n:long>>, flat binary")
     rows.select("part", "before", "docs", encode(spark, F.col("flat")).alias("record")).write.option("compression", "zstd").parquet(path)
 
 

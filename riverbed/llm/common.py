@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
 import os
@@ -164,6 +165,27 @@ def slices(offsets: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, i
         a = b
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed: Spark keeps its Python workers, and the next task may run in another one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` over the batches of a partition, memory returned in the end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over batches; ``f`` makes any number of batches out of one."""
 
@@ -172,7 +194,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
             if b.num_rows:
                 yield from f(b)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def pack(arrays: list[np.ndarray]) -> pa.Array:

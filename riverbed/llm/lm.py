@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import BATCH, Scratch, arrow_map, binary, pack, settings, slices, text_buffer, tune
+from .common import BATCH, Scratch, arrow_map, binary, pack, settings, slices, text_buffer, tidy, tune
 
 #: Words that the exchange algorithm starts from, classes, sweeps over the words; bytes of text in a block.
 CORE, CLASSES, SWEEPS, BLOCK_BYTES = 1000, 32, 6, 3_000_000
@@ -79,7 +79,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield block_of(held, names)
 
     kind = T.StructType([T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), *(T.StructField(n, T.BinaryType()) for n in names[1:])])
-    return docs.select("id", "train", "text").mapInArrow(run, kind).withColumn("block", F.monotonically_increasing_id())
+    return docs.select("id", "train", "text").mapInArrow(tidy(run), kind).withColumn("block", F.monotonically_increasing_id())
 
 
 @dataclass
@@ -415,7 +415,7 @@ def _scores(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([pa.array(words[best].view(np.int64)), pa.array(total[best])], ["h", "c"])
 
     # All of a word's blocks meet in one part, so its count there is exact.
-    named = met(arrow_map(t.select("block", *cols), dealt, MET)).mapInArrow(counted, "h long, c long")
+    named = met(arrow_map(t.select("block", *cols), dealt, MET)).mapInArrow(tidy(counted), "h long, c long")
     top = np.array([r["h"] for r in named.orderBy(F.desc("c"), "h").limit(core).collect()], np.int64).view(np.uint64)  # `core` rows
     scratch.collect()
     heart, k = np.sort(top), len(top)
@@ -466,7 +466,7 @@ def _scores(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col: str,
             yield from answers(block, i, c, at, cls)
 
     def told(rows: DataFrame, settle: Callable) -> DataFrame:
-        said = met(rows).mapInArrow(settle, "block long, i binary, v binary, r binary")
+        said = met(rows).mapInArrow(tidy(settle), "block long, i binary, v binary, r binary")
         answered = said.groupBy("block").agg(F.collect_list(F.struct("i", "v", "r")).alias("a"))
         return scratch.save(answered.select("block", "a.i", "a.v", "a.r"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import Scratch, arrow_map, binary, slices, text_buffer, tune, with_row_key
+from .common import Scratch, arrow_map, binary, slices, text_buffer, tidy, tune, with_row_key
 from .graph import components
 
 #: Chance that a pair of texts at the threshold meets in no table.
@@ -76,10 +76,10 @@ def min_hashes(flat: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, m: int) -> DataFrame:
-    """(rid, id, n, cid, sig, a, b) for docs (rid, id, text): set size, class id, two bits of 32 minhashes, half keys.
+    """(rid, id, n, h1, h2, sig, a, b) for docs (rid, id, text): set size, sums of two hashes of the set's shingles, two bits
+    of 32 minhashes, half keys.
 
-    Texts with equal sets have equal class ids, a 64-bit sum of hashes; an empty set has null. Of d texts with sets of their
-    own, some two share an id with a chance of d**2 / 2**65: 3e-4 for 10**8 of them, so ten thousand million want a wider one.
+    Texts are of one class if n, h1 and h2 are equal, which 128 bits say; an empty set has null in both.
     """
     n_hash = 4 * m
 
@@ -90,19 +90,20 @@ def sketches(docs: DataFrame, k: int, m: int) -> DataFrame:
             n = np.diff(o)
             some = np.flatnonzero(n)
             starts = np.concatenate([o[:-1][some], o[-1:]])
-            cid, sig = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            h1, h2, sig = (np.zeros(len(n), np.int64) for _ in range(3))
             keys = np.zeros((len(n), 2 * m), np.int64)
             if len(some):
                 h = min_hashes(flat, starts, n_hash)
-                cid[some] = rolling.mix(np.add.reduceat(rolling.mix(flat), starts[:-1]) + n[some].astype(np.uint64)).view(np.int64)
+                for to, salt in ((h1, 0), (h2, 0x2545F4914F6CDD1D)):
+                    to[some] = rolling.mix(np.add.reduceat(rolling.mix(flat ^ np.uint64(salt)), starts[:-1]) + n[some].astype(np.uint64)).view(np.int64)
                 low = (h[:, :32] >> np.uint64(40)) & np.uint64(3)
                 sig[some] = (low << (2 * np.arange(low.shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
                 keys[some] = rolling.mix(h[:, 0::2] * np.uint64(3) + rolling.mix(h[:, 1::2]) + np.arange(2 * m, dtype=np.uint64)).view(np.int64)
             empty = n == 0
             list_of = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(cid, mask=empty), pa.array(sig), list_of(keys[:, :m]), list_of(keys[:, m:])], ["rid", "id", "n", "cid", "sig", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(h1, mask=empty), pa.array(h2, mask=empty), pa.array(sig), list_of(keys[:, :m]), list_of(keys[:, m:])], ["rid", "id", "n", "h1", "h2", "sig", "a", "b"])
 
-    kind = T.StructType([T.StructField("rid", T.LongType()), docs.schema["id"], *T._parse_datatype_string("n long, cid long, sig long, a array<long>, b array<long>").fields])
+    kind = T.StructType([T.StructField("rid", T.LongType()), docs.schema["id"], *T._parse_datatype_string("n long, h1 long, h2 long, sig long, a array<long>, b array<long>").fields])
     return arrow_map(docs.select("rid", "id", "text"), run, kind)
 
 
@@ -187,7 +188,7 @@ def crowd_links(scratch: Scratch, texts: DataFrame, sets: DataFrame, num: int, d
         if held:
             yield links(pa.concat_tables(held))
 
-    return scratch.save(met.mapInArrow(run, "x long, y long"))
+    return scratch.save(met.mapInArrow(tidy(run), "x long, y long"))
 
 
 def similar(u: np.ndarray, v: np.ndarray, num: int, den: int) -> bool:
@@ -248,11 +249,13 @@ class Verifier:
 
 
 def groups(spark: SparkSession, scratch: Scratch, base: DataFrame, num: int, den: int, k: int = 5) -> DataFrame:
-    """(rid, id, n, cid, comp) for base (rid, id, text): texts of a similarity of num / den or more share a comp, through
-    any chain of links; comp is null for texts without words."""
+    """(rid, id, n, comp) for base (rid, id, text): texts of a similarity of num / den or more share a comp, through any
+    chain of links; comp is null for texts without words. A class of equal texts is named by its first row key."""
     m = halves(num / den)
     sk = scratch.save(sketches(base, k, m))
-    classes = scratch.save(sk.where("cid is not null").groupBy("cid").agg(F.min("rid").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig", "a", "b")]))
+    same = ["n", "h1", "h2"]
+    named = scratch.save(sk.where("h1 is not null").groupBy(*same).agg(F.min("rid").alias("cid"), *[F.first(c).alias(c) for c in ("sig", "a", "b")]))
+    classes = named.select("cid", F.col("cid").alias("rep"), "n", "sig", "a", "b")
     # Half keys that no other text has make no table key that another one has.
     half = classes.select("cid", F.posexplode(F.concat("a", "b")).alias("p", "h"))
     twice = scratch.save(half.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
@@ -276,8 +279,8 @@ def groups(spark: SparkSession, scratch: Scratch, base: DataFrame, num: int, den
     edges = edges.unionByName(crowd_links(scratch, crowd, check.sets(crowd.select(F.col("rep").alias("rid"))), num, den))
     edges = edges.unionByName(check.links(pairs))
     comps = components(scratch, edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    out = sk.select("rid", "id", "n", "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-    return scratch.save(out.select("rid", "id", "n", "cid", F.coalesce("comp", "cid").alias("comp")))
+    found = named.select(*same, "cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(*same, F.coalesce("comp", "cid").alias("comp"))
+    return scratch.save(sk.select("rid", "id", *same).join(found, same, "left").select("rid", "id", "n", "comp"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, arrow_map, binary, sha256, tune, with_row_key
+from .common import Scratch, arrow_map, binary, sha256, tidy, tune, with_row_key
 from .repeats import CHUNK, LARGE_BUCKET, Windows, contexts, in_chunks, layout, removed_spans, repeated, strip
 
 
@@ -70,7 +70,7 @@ def _first_bits(ctx: DataFrame, win: Windows, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t["q"].combine_chunks(), t["node"].combine_chunks(), binary(mine, np.concatenate([[0], np.cumsum(n)]))], ["q", "node", "bits"])
 
     cols = ("q", "node", "n", "o", "rid", "s", "items")
-    few = ctx.where(F.col("size") <= LARGE_BUCKET).repartition("q").sortWithinPartitions("q").select(*cols).mapInArrow(small, "q long, node long, bits binary")
+    few = ctx.where(F.col("size") <= LARGE_BUCKET).repartition("q").sortWithinPartitions("q").select(*cols).mapInArrow(tidy(small), "q long, node long, bits binary")
 
     def dealt(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([batch])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, arrow_map, binary, sha256, tune, with_row_key
+from .common import Scratch, arrow_map, binary, sha256, tidy, tune, with_row_key
 from .repeats import CHUNK, LARGE_BUCKET, Windows, contexts, in_chunks, layout, removed_spans, repeated, strip
 
 
@@ -68,7 +68,7 @@ def _open_bits(ctx: DataFrame, win: Windows, scratch: Scratch) -> DataFrame:
             shared |= (t["weight"].to_numpy() > 1)[row]
             yield pa.RecordBatch.from_arrays([t["q"].combine_chunks(), t["node"].combine_chunks(), binary(shared.astype(np.uint8), np.concatenate([[0], np.cumsum(n)]))], ["q", "node", "bits"])
 
-    few = ctx.where(F.col("size") <= LARGE_BUCKET).repartition("q").sortWithinPartitions("q").select("q", "node", "n", "weight", "items").mapInArrow(small, "q long, node long, bits binary")
+    few = ctx.where(F.col("size") <= LARGE_BUCKET).repartition("q").sortWithinPartitions("q").select("q", "node", "n", "weight", "items").mapInArrow(tidy(small), "q long, node long, bits binary")
 
     def dealt(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([batch])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import rolling
-from .common import arrow_map, pack, slices, text_buffer, tune
+from .common import arrow_map, pack, slices, text_buffer, tidy, tune
 
 #: Labelled documents that training takes at most: those with the smallest hash of their id.
 MAX_TRAINING = 8_000
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_byt
         m = fit(texts, y)
         yield pa.RecordBatch.from_arrays([pack([m.used.astype(np.int64)]), pack([m.values]), pa.array([m.bias])], ["used", "weights", "bias"])
 
-    r = rows.mapInArrow(run, "used binary, weights binary, bias double").first()
+    r = rows.mapInArrow(tidy(run), "used binary, weights binary, bias double").first()
     if r is None:  # without rows there may be no task
         return fit([], [])
     return Model(np.frombuffer(r["used"], np.int64), np.frombuffer(r["weights"], np.float32), r["bias"])
