@@ -17,8 +17,10 @@ CANDIDATES, QUERIES = 8192, 256
 MEET_CANDIDATES, MEET_QUERIES = 4, 8
 #: Shares of every list that have been read after each round.
 ROUNDS = (0.5, 0.8, 0.9, 1.0)
-#: Sums under this are exact in doubles.
-EXACT = 2**52
+#: Queries of a block of candidates that try all rounds; the others start with the first round that ended one of these.
+FIRST = 8
+#: Sums under these are exact in floats of 32 bits and in doubles.
+EXACT = ((2**24, np.float32), (2**52, np.float64))
 
 
 class Lists:
@@ -32,8 +34,8 @@ class Lists:
         rank = np.empty_like(self.order)
         np.put_along_axis(rank, self.order, np.arange(self.n)[:, None].repeat(self.dims, 1), axis=0)
         self.rank = rank
-        #: Share of the entries of their lists that the queries so far have read, summed over queries.
-        self.read = 0.0
+        #: Share of the entries of their lists that the queries so far have read, summed over queries; the round to start with.
+        self.read, self.start = 0.0, None
 
     def top(self, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each row of ``q`` the row numbers and scores of its k best, ties to smaller ids; ``own``: the query's id.
@@ -43,37 +45,47 @@ class Lists:
         most) and the product at the far end (at least). A query stops once few candidates have an upper bound that
         reaches its k-th lower bound; their scores are then resolved.
         """
+        most = self.dims * max(1, int(np.abs(self.x).max(initial=0))) * max(1, int(np.abs(q).max(initial=0)))
+        kind = next((t for bound, t in EXACT if 4 * most < bound), None)
+        if kind is None or self.n <= 4 * k:  # sums that doubles can't hold, or few candidates
+            self.read += len(q)
+            return [self.resolve(np.flatnonzero(self.ids != i), v, k) for i, v in zip(own, q, strict=True)]
+        found = []
+        if self.start is None:
+            self.start, ended = 0, [0] * len(ROUNDS)
+            found = self._rounds(q[:FIRST], own[:FIRST], k, kind, ended)
+            self.start = next((i for i, n in enumerate(ended) if n), 0)
+        return found + self._rounds(q[len(found) :], own[len(found) :], k, kind, [0] * len(ROUNDS))
+
+    def _rounds(self, q: np.ndarray, own: np.ndarray, k: int, kind: type, ended: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
         out: list = [None] * len(q)
         left = np.arange(len(q))
-        exact = self.dims * max(1, int(np.abs(self.x).max(initial=0))) * max(1, int(np.abs(q).max(initial=0))) < EXACT
-        pos, neg = np.maximum(q, 0).T.astype(float), np.minimum(q, 0).T.astype(float)
-        values = self.x.astype(float)
-        ends = np.vstack([pos * self.ranked[:1].T, neg * self.ranked[-1:].T])  # the far ends of lists read downwards, upwards
-        weight = np.vstack([pos, neg])
+        pos, neg = np.maximum(q, 0).T.astype(kind), np.minimum(q, 0).T.astype(kind)
+        values, ranked = self.x.astype(kind), self.ranked.astype(kind)
+        ends = np.vstack([pos * ranked[:1].T, neg * ranked[-1:].T])  # the far ends of lists read downwards, upwards
+        weight = np.vstack([pos, neg, -ends])
         mine = self.ids[:, None] == own[None, :]
-        got, sure = np.zeros((self.n, len(q))), np.zeros((self.n, len(q)))  # by candidate: what has been read, and the far ends of those lists
+        got = np.zeros((self.n, len(q)), kind)  # by candidate: what has been read, less the far ends of those lists
         done_at = 0
-        for share in ROUNDS if exact and self.n > 4 * k else ():
+        for number, share in list(enumerate(ROUNDS))[self.start :]:
             depth = max(1, int(np.ceil(self.n * share)))
             shown = np.hstack([self.rank >= self.n - depth, self.rank < depth])
-            new = shown & ~np.hstack([self.rank >= self.n - done_at, self.rank < done_at])
-            got += (np.hstack([values, values]) * new) @ weight[:, left]
-            sure += new.astype(float) @ ends[:, left]
-            last = np.vstack([pos[:, left] * self.ranked[self.n - depth][:, None], neg[:, left] * self.ranked[depth - 1][:, None]])
-            lower = got + ends[:, left].sum(axis=0) - sure
-            lower[mine[:, left]] = -np.inf
-            floor = np.partition(lower, self.n - k, axis=0)[self.n - k]
-            open_ = (got + (~shown).astype(float) @ last >= floor) & ~mine[:, left]
+            new = shown & ~np.hstack([self.rank >= self.n - done_at, self.rank < done_at]) if done_at else shown
+            got += np.hstack([values * new[:, : self.dims], values * new[:, self.dims :], new]) @ weight[:, left]
+            last = np.vstack([pos[:, left] * ranked[self.n - depth][:, None], neg[:, left] * ranked[depth - 1][:, None]])
+            far = ends[:, left].sum(axis=0)
+            low = np.where(mine[:, left], -np.inf, got)
+            floor = np.partition(low, self.n - k, axis=0)[self.n - k] + far
+            # Listed products less their far ends, and what lists that haven't shown the candidate can still add to those.
+            open_ = (got + far + (~shown).astype(kind) @ (last - ends[:, left]) >= floor) & ~mine[:, left]
             done = open_.sum(axis=0) <= max(8 * k, self.n // 16) if share < 1 else np.ones(len(left), bool)
             for j in np.flatnonzero(done):
                 out[left[j]] = self.resolve(np.flatnonzero(open_[:, j]), q[left[j]], k)
             self.read += share * int(done.sum())
-            left, got, sure, done_at = left[~done], got[:, ~done], sure[:, ~done], depth
+            ended[number] += int(done.sum())
+            left, got, done_at = left[~done], got[:, ~done], depth
             if not len(left):
                 break
-        for j in left:  # few candidates, or sums that doubles can't hold
-            out[j] = self.resolve(np.flatnonzero(~mine[:, j]), q[j], k)
-            self.read += 1
         return out
 
     def resolve(self, rows: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
