@@ -19,8 +19,8 @@ def _segment(key: Column) -> Column:
 
 def depth(event: Column) -> Column:
     """How deep the containers of an event are nested; 0 for a scalar."""
-    bare = F.regexp_replace(F.to_json(event), r'"(?:[^"\\]|\\.)*"', "")
-    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    plain = F.regexp_replace(F.to_json(event), r"\\.", "")  # no escapes, so a string ends at the next quote
+    steps = F.split(F.regexp_replace(plain, r'"[^"]*+"|[^\[\]{}"]++', ""), "")
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(a: Column, c: Column) -> Column:
@@ -30,16 +30,18 @@ def depth(event: Column) -> Column:
     return F.aggregate(steps, zero, step)["most"]
 
 
-def _children(node: Column) -> Column:
-    """A node (path, v, done) as the nodes it leaves: itself if it is done, or its children; arrays stay beside theirs."""
-    v, path = node["v"], node["path"]
+def _descend(level: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes (path, v, done) with containers that aren't done replaced by their children; arrays stay as well, done."""
+    path, v, done = (F.col(f"node__.{c}") for c in ("path", "v", "done"))
     below = lambda name: F.when(path.isNull(), name).otherwise(F.concat(path, F.lit("/"), name))
-    new = lambda name, x: F.struct(below(name).alias("path"), x.alias("v"), variant_tag(x).isNotNull().alias("done"))
-    is_array = F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
-    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: new(_segment(e["key"]), e["value"]))
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: new(i.cast("string"), x))
-    own = F.array(F.struct(path.alias("path"), v.alias("v"), F.lit(True).alias("done")))
-    return F.when(node["done"], own).when(is_array, F.when(path.isNull(), items).otherwise(F.concat(own, items))).otherwise(fields)
+    node = lambda p, x, d: F.struct(p.alias("path"), x.alias("v"), F.lit(d).alias("done"))
+    kind = F.when(~done, F.schema_of_variant(v))
+    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: node(below(_segment(e["key"])), e["value"], False))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: node(below(i.cast("string")), x, False))
+    own = F.array(node(path, v, True))
+    array = F.when(path.isNull(), items).otherwise(F.concat(own, items))
+    children = F.when(F.col("kind__").startswith("OBJECT"), fields).when(F.col("kind__").startswith("ARRAY"), array).otherwise(own)
+    return level.withColumn("kind__", kind).select(*key, F.explode(children).alias("node__"))
 
 
 def flatten(df: DataFrame, key: list[str], event: str = "event") -> DataFrame:
@@ -53,7 +55,7 @@ def flatten(df: DataFrame, key: list[str], event: str = "event") -> DataFrame:
     left = df.agg(F.max(depth(F.col(event)))).first()[0] or 0
     while left > 0:
         for _ in range(min(left, LEVELS)):
-            level = level.select(*key, F.explode(_children(F.col("node__"))).alias("node__"))
+            level = _descend(level, key)
         left -= LEVELS
         if left > 0:
             path = folders.fresh(spark, "flatten")
@@ -61,13 +63,9 @@ def flatten(df: DataFrame, key: list[str], event: str = "event") -> DataFrame:
             level = spark.read.schema(level.schema).parquet(path)
     rows = level.where(F.col("node__.path").isNotNull()).select(*key, "node__.path", "node__.v")  # the root has no path
     tag = variant_tag(F.col("v"))
-    return rows.select(
-        *key, "path", F.coalesce(tag, F.lit("array")).alias("tag"),
-        F.when(tag == "number", F.try_variant_get("v", "$", "double")).alias("num"),
-        F.when(tag == "string", F.try_variant_get("v", "$", "string")).alias("str"),
-        F.when(tag == "bool", F.try_variant_get("v", "$", "boolean")).alias("bool"),
-        F.when(tag.isNull(), VariantEvent("v").elements(())).alias("elements"),
-    )
+    rows = rows.withColumn("tag", F.coalesce(tag, F.lit("array")))
+    of = lambda t, kind: F.when(F.col("tag") == t, F.try_variant_get("v", "$", kind))
+    return rows.select(*key, "path", "tag", of("number", "double").alias("num"), of("string", "string").alias("str"), of("bool", "boolean").alias("bool"), F.when(F.col("tag") == "array", VariantEvent("v").elements(())).alias("elements"))
 
 
 def flatten_paths(df: DataFrame, key: list[str], paths: list[Path], event: str = "event") -> DataFrame:

@@ -38,7 +38,11 @@ def folded(headers: Column) -> Column:
 
 def attributes(headers: Column, content_type: Column) -> Column:
     """``ce-*`` headers as string attributes, names lower-cased and bare; datacontenttype from the content type."""
-    ours = F.transform_keys(F.map_filter(folded(headers), lambda k, _: F.startswith(k, F.lit("ce-"))), lambda k, _: F.substring(k, 4, 1 << 20))
+    return _attributes(folded(headers), content_type)
+
+
+def _attributes(names: Column, content_type: Column) -> Column:
+    ours = F.transform_keys(F.map_filter(names, lambda k, _: F.startswith(k, F.lit("ce-"))), lambda k, _: F.substring(k, 4, 1 << 20))
     rest = F.map_filter(ours, lambda k, _: k != "datacontenttype")
     return F.map_concat(rest, F.create_map(F.lit("datacontenttype"), content_type))
 
@@ -90,10 +94,11 @@ def judged(requests: DataFrame, max_body: int = MAX_BODY, counted: bool = False,
     their Content-Length header; ``timed_out`` says which of them didn't come in time.
     """
     kind = media_type(F.col("content_type"))
-    r = requests.withColumns({"kind": kind, "attr": attributes(F.col("headers"), F.col("content_type")), "parsed": whole_json(F.col("body"))})
+    r = requests.withColumn("names", folded(F.col("headers")))
+    r = r.withColumns({"kind": kind, "attr": _attributes(F.col("names"), F.col("content_type")), "parsed": whole_json(F.col("body"))})
     bad_json = F.col("parsed").isNull()
-    bad_body = _body_code(folded(F.col("headers")), max_body, counted, timed_out)
-    conflict = F.element_at(folded(F.col("headers")), "ce-datacontenttype")
+    bad_body = _body_code(F.col("names"), max_body, counted, timed_out)
+    conflict = F.element_at("names", "ce-datacontenttype")
     code = (
         F.when(F.col("channel").isNull() | (F.col("channel") == ""), "invalid-channel")
         .when(F.col("channel") == META, "disallowed-meta-channel-send")
