@@ -72,7 +72,7 @@ class Registry:
         return sum(self.remove(channel, client_id) for channel in {k[0] for k in self.entries if k[1] == client_id})
 
     def _tell(self, what: str, channel: str, client_id: str, query_id: str, text: str) -> None:
-        n = len(self.log)
+        n = self.changed
         self._keep({"source": self.source, "id": f"{query_id}-{n}", "specversion": "1.0", "type": f"riverbed.query.{what}", "data": {"channel": channel, "clientID": client_id, "queryID": query_id, "query": text}})
 
     def _keep(self, change: dict) -> None:
@@ -83,6 +83,11 @@ class Registry:
         rows = [(META, json.dumps(e)) for e in self.log[since:]]
         return spark.createDataFrame(rows, "channel string, value string")
 
+    @property
+    def changed(self) -> int:
+        """How many changes there have been."""
+        return len(self.log)
+
     def active(self) -> int:
         """Each conjunction counts as one."""
         return sum(len(q.conjunctions) for q in self.entries.values())
@@ -141,6 +146,10 @@ class Registry:
         return spark.createDataFrame(self.rows(), STANDING)
 
 
+#: Changes after which a durable registry writes down what is registered, so a restart reads no more of them than that.
+SNAPSHOT = 1000
+
+
 class DurableRegistry(Registry):
     """A registry whose changes are files of a shared folder, one for each: what is registered outlives the process.
 
@@ -152,8 +161,31 @@ class DurableRegistry(Registry):
     def __init__(self, spark: SparkSession, folder: str, attempts: int = 5, wait: float = 0.05, **options):
         super().__init__(**options)
         self.spark, self.folder, self.attempts, self.wait = spark, folder.rstrip("/"), attempts, wait
+        #: Changes before those of ``log``, which a snapshot has stood for.
+        self.before = 0
+        self._restore()
         self.refresh()
 
+    @property
+    def changed(self) -> int:
+        return self.before + len(self.log)
+
+    def _restore(self) -> None:
+        fs = self._fs()
+        taken = sorted(x.getPath().getName() for x in fs.listStatus(self._path(".")) if x.getPath().getName().startswith("_snapshot-"))
+        if taken:
+            text = self._read(taken[-1])
+            self.before = int(taken[-1].removeprefix("_snapshot-"))
+            self.entries = {(e[0], e[1], e[2]): parse(e[3], self.max_terms, self.max_value_bytes) for e in json.loads(text)}
+            for name in taken[:-1]:
+                fs.delete(self._path(name), False)
+
+    def _read(self, name: str) -> str:
+        stream = self._fs().open(self._path(name))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text
+
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
@@ -166,11 +198,8 @@ class DurableRegistry(Registry):
     def refresh(self) -> int:
         """Takes in changes that aren't known yet, in their order; how many there were."""
         fs, had = self._fs(), len(self.log)
-        while fs.exists(self._path(f"{len(self.log):012d}.json")):
-            stream = fs.open(self._path(f"{len(self.log):012d}.json"))
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            change = json.loads(text)
+        while fs.exists(self._path(f"{self.changed:012d}.json")):
+            change = json.loads(self._read(f"{self.changed:012d}.json"))
             self.log.append(change)
             d = change["data"]
             key = (d["channel"], d["clientID"], d["queryID"])
@@ -183,12 +212,15 @@ class DurableRegistry(Registry):
     def _keep(self, change: dict) -> None:
         for attempt in range(self.attempts):
             try:
-                self._write(f"{len(self.log):012d}.json", json.dumps(change))
+                self._write(f"{self.changed:012d}.json", json.dumps(change))
                 break
             except OSError:
                 if attempt + 1 == self.attempts:
                     raise
                 time.sleep(self.wait * (attempt + 1) ** 2)
+        # What is registered now is without this change, so the snapshot is of all the changes before it.
+        if self.changed % SNAPSHOT == 0 and self.changed:
+            self._write(f"_snapshot-{self.changed:012d}", json.dumps([[*k, q.text] for k, q in self.entries.items()]))
         super()._keep(change)
 
     def _write(self, name: str, text: str) -> None:

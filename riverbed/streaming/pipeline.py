@@ -87,7 +87,8 @@ class Gauges(StreamingQueryListener):
         self.rows += p.numInputRows
         self.state_rows = sum(s.numRowsTotal for s in p.stateOperators)
         self.batch_ms = p.batchDuration
-        self.behind = max(0, int(p.inputRowsPerSecond * p.batchDuration / 1000) - p.numInputRows) if p.numInputRows else 0
+        # Sources with offsets, such as Kafka, tell how far behind their end the stream is.
+        self.behind = sum(int(float((s.metrics or {}).get("maxOffsetsBehindLatest", 0))) for s in p.sources)
 
     def onQueryIdle(self, event) -> None:
         pass

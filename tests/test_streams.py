@@ -152,6 +152,21 @@ def test_a_durable_registry(spark, tmp_path, monkeypatch):
     assert r.disconnect("c2") == 1 and len(calls) == 3 and DurableRegistry(spark, folder).entries == r.entries
 
 
+def test_a_restart_reads_a_snapshot(spark, tmp_path, monkeypatch):
+    from riverbed.plans import registry
+
+    monkeypatch.setattr(registry, "SNAPSHOT", 4)
+    folder = f"file://{tmp_path}/r"
+    r = DurableRegistry(spark, folder, wait=0)
+    for i in range(11):
+        r.add("main", "c", f"q{i % 7}", f"a={i}")
+        if i % 5 == 4:
+            r.remove("main", "c", f"q{i % 7 - 1}")
+        again = DurableRegistry(spark, folder, wait=0)
+        assert again.entries == r.entries and again.changed == r.changed == i + 1 + (i + 1) // 5 and len(again.log) <= 4
+    assert len({x["id"] for x in r.log}) == len(r.log) == 13
+
+
 def test_unreachable_clients_are_unregistered(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text(request(1, a=1) + "\n")
