@@ -138,8 +138,8 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col:
     """
     tune(spark)
     scratch = Scratch(spark, "clean")
-    base = scratch.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"), F.struct("*").alias("row")))
-    found = hits(spark, base, benchmark, "rid", "text", item_col, item_text, window, gram)
+    base = scratch.save(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")))
+    found = hits(spark, base.select("rid", F.col("row")[text_col].alias("text")), benchmark, "rid", "text", item_col, item_text, window, gram)
     whole = F.exists("spans", lambda s: s["len"] >= window)
     bad = scratch.save(found.where(whole | contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("rid")))
     # Eight bytes a row, so a broadcast of them has a proven size.
