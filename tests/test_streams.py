@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,46 @@ def test_folders_come_from_the_session(spark):
 def test_meta_events_are_not_taken_from_producers(spark):
     df = spark.createDataFrame([("meta",), ("main",)], "channel string")
     assert pipeline.without_meta(df).count() == 1
+
+
+class State:
+    """A group's state, as far as a function of ``applyInPandasWithState`` needs one."""
+
+    exists, kept = False, None
+
+    def update(self, kept):
+        self.kept = kept
+
+
+@pytest.mark.parametrize("run,merged", [(32 << 20, 32), (1 << 20, 32), (100_000, 3)])
+def test_a_part_is_sorted_in_bounded_memory(spark, monkeypatch, run, merged):
+    """A batch that is much larger than what a worker holds: all of it in time, ties as they came, whole numbers among NULLs told apart."""
+    monkeypatch.setattr(dedupe, "RUN_BYTES", run, raising=False)
+    monkeypatch.setattr(dedupe, "MERGED", merged, raising=False)
+    monkeypatch.setattr(dedupe, "BLOCK_BYTES", 1 << 16, raising=False)
+    got = {}
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasGroupedOpsMixin.applyInPandasWithState", lambda self, f, *_: got.update(df=self._df, judge=f))
+    n = 30_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 7 > 0, 2**60 + F.col("id") % 3).alias("user"), F.repeat(F.lit("x"), 400).alias("pad"), F.timestamp_seconds(F.floor(F.col("id") / 2)).alias("at"))
+    dedupe.first_events_bounded(df, 1e9, 1, 1, ["user"], "at")
+    rows = got["df"].toPandas()
+    rows["pad"] = [f"{x:06}" + "x" * 400 for x in range(n)]  # strings of their own
+    order = [x for x in range(0, n, 2)]
+    random.Random(3).shuffle(order)
+    order = [y for x in order for y in (x, x + 1)]
+
+    def batches():
+        for a in range(0, n, 500):
+            part = rows.iloc[order[a : a + 500]].copy()
+            part["pad"] = part["pad"].str.slice(0, 405) + "y"
+            yield part
+
+    state, told = State(), []
+    tracemalloc.start()
+    for b in got["judge"]((0,), batches(), state):
+        told += b["id"].tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    key = lambda x: x % 7 and 2**60 + x % 3
+    assert told == [x for x in range(n) if x == 0 or key(x) != key(x - 1)]
+    assert len(state.kept[0]) == 16 and (run > 1 << 20 or peak < n * 400 / 2)
