@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,18 +29,35 @@ class Scalar:
         return F.when(self.tag.isNotNull(), F.struct(self.tag.alias("tag"), self.num.cast("double").alias("num"), self.text.alias("str"), self.flag.alias("bool")))
 
 
-def variant_tag(v: Column) -> Column:
-    """null, bool, number or string; NULL for a missing value, an object or an array."""
-    kind = F.schema_of_variant(v)
+def _tag_of_kind(kind: Column) -> Column:
     return (
-        F.when(v.isNull(), None)
-        .when(F.is_variant_null(v), "null")
-        .when(kind == "STRING", "string")
+        F.when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "bool")
         .when(kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE") | kind.startswith("DECIMAL"), "number")
     )
 
 
+def variant_tag(v: Column) -> Column:
+    """null, bool, number or string; NULL for a missing value, an object or an array."""
+    return F.when(v.isNull(), None).when(F.is_variant_null(v), "null").otherwise(_tag_of_kind(F.schema_of_variant(v)))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` mentions it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def variant_struct(v: Column) -> Column:
+    """``variant_scalar(v).struct()`` with the value looked up once, and its tag too; a filter is better off without lambdas."""
+
+    def scalar(x: Column, tag: Column) -> Column:
+        guard = lambda t, kind: F.when(tag == t, F.try_variant_get(x, "$", kind))
+        return F.when(tag.isNotNull(), F.struct(tag.alias("tag"), guard("number", "double").alias("num"), guard("string", "string").alias("str"), guard("bool", "boolean").alias("bool")))
+
+    tag = lambda x: F.when(x.isNull(), None).when(F.is_variant_null(x), "null").otherwise(_once(F.schema_of_variant(x), _tag_of_kind))
+    return _once(v, lambda x: _once(tag(x), lambda t: scalar(x, t)))
+
+
 def variant_scalar(v: Column) -> Scalar:
     """Casts are guarded by the tag: an unguarded one would read ``"1"`` as a number."""
     tag = variant_tag(v)
@@ -68,6 +86,9 @@ class VariantEvent:
     def scalar(self, path: Path) -> Scalar:
         return variant_scalar(self.value(path))
 
+    def struct(self, path: Path) -> Column:
+        return variant_struct(self.value(path))
+
     def elements(self, path: Path) -> Column:
         """The scalar elements of an array as SCALAR structs; NULL if there is no array."""
         items = F.try_variant_get(self.value(path), "$", "array<variant>")
@@ -91,6 +112,9 @@ class TypedEvent:
             return Scalar(none.cast("string"), none.cast("double"), none.cast("string"), none.cast("boolean"), "none")
         return self._of(F.col(self.columns[path]), self.types[path])
 
+    def struct(self, path: Path) -> Column:
+        return self.scalar(path).struct()
+
     def _of(self, c: Column, kind: T.DataType, missing: bool = False) -> Scalar:
         none = F.lit(None)
         tag = "bool" if isinstance(kind, T.BooleanType) else "number" if isinstance(kind, T.NumericType) else "string"

@@ -76,7 +76,7 @@ def extracted(events: DataFrame, registry: Registry, event: Event) -> DataFrame:
     paths = registry.paths()
     in_arrays = sorted({p for q in registry.entries.values() for c in q.conjunctions for p, _ in c.contains})
     none = F.create_map().cast(f"map<string,{SCALAR}>")
-    scalars = F.create_map(*[x for p in paths for x in (F.lit(path_text(p)), event.scalar(p).struct())]) if paths else none
+    scalars = F.create_map(*[x for p in paths for x in (F.lit(path_text(p)), event.struct(p))]) if paths else none
     arrays = F.create_map(*[x for p in in_arrays for x in (F.lit(path_text(p)), event.elements(p))]) if in_arrays else F.create_map().cast(f"map<string,array<{SCALAR}>>")
     return events.withColumns({"scalars__": scalars, "arrays__": arrays})
 
